@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronotext.sources.tables import numbered
 
@@ -92,7 +93,8 @@ def token_bucket(events: DataFrame, client: str, at_us: str, seq: str, per_minut
         runs = quiet_runs(events, client, at_us, seq, gap_us, slice_us or max(24 * gap_us, 3_600_000_000))
     else:
         runs = events.withColumn("run", F.lit(0).cast("bigint"))
-    schema = events.select(*cols).schema.add("allowed", "boolean").add("remaining_or_retry", "bigint")
+    schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType()),
+                           T.StructField("remaining_or_retry", T.LongType())])
     where_client, where_at = cols.index(client), cols.index(at_us)
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

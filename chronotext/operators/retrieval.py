@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.functions.models import Scorer, pair_score
-from chronotext.functions.text import format_timestamp, parse_timestamp, normalize_punct, strip, title_case
+from chronotext.functions.text import case_category, format_timestamp, normalize_punct, parse_timestamp, strip, title_case
 from chronotext.functions.tokens import lexical_terms, term_overlap
 
 
@@ -209,3 +209,13 @@ def resolve_citations(answers: DataFrame, citations: DataFrame, aliases: Sequenc
     if bold_words:
         out = _link_pass(out, citations, bold_mention(bold_words), 2, "**", aliases)
     return out
+
+
+def classify_cases(df: DataFrame, text: str, taxonomy: Sequence[tuple]) -> DataFrame:
+    """Category of each text with its title and principles; the taxonomy table is as short as its definition."""
+    spark = df.sparkSession
+    table = spark.createDataFrame([(t[0], t[1], list(t[3]), t[4]) for t in taxonomy],
+                                  "case_category string, case_title string, principles array<string>, "
+                                  "expansion string")
+    return df.withColumn("case_category", case_category(F.col(text), taxonomy)).join(
+        F.broadcast(table), "case_category", "left")

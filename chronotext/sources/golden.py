@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from chronotext import schemas
 
 
-def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(schemas.GOLDEN_SET).json(path)
+def read_golden(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A JSON array, or with ``multi_line`` off one object per line, which Spark can split."""
+    return spark.read.option("multiLine", multi_line).schema(schemas.GOLDEN_SET).json(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
