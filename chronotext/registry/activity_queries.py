@@ -215,10 +215,10 @@ def token_bucket(spark, sf):
 
 
 @R.add("retry_queue", """
-with e as (select user_id, row_number() over (order by ts, event_id) as at, event_type = 'error' as failed from events),
-s as (select user_id, max(at) filter (where not failed) as ok, count(*) filter (where failed) as failures,
-        arg_max(failed, at) as last_failed from e group by user_id),
-n as (select e.user_id, count(*) filter (where failed and (ok is null or at > ok)) as attempts,
+with e as (select user_id, row_number() over (order by ts, event_id) as place, event_type = 'error' as failed from events),
+s as (select user_id, max(place) filter (where not failed) as ok, count(*) filter (where failed) as failures,
+        arg_max(failed, place) as last_failed from e group by user_id),
+n as (select e.user_id, count(*) filter (where failed and (ok is null or place > ok)) as attempts,
         any_value(failures) as failures, any_value(last_failed) as last_failed from e join s using (user_id) group by 1)
 select user_id, failures, attempts,
   case when not last_failed then 'recovered' when attempts >= 3 then 'failed' else 'retry' end as status,

@@ -58,9 +58,12 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over the cores. An input that already has as many splits as cores is left alone.
+    """Spread a small input over the cores before work that is heavy per row.
 
-    For scans: counting the splits of a plan with shuffles would run them.
+    Goes by Spark's size estimate and runs nothing. An input large enough to have a split per core is left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
