@@ -8,6 +8,8 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronotext.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -35,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is heavy per row."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def upload_date(doc_id: Column) -> Column:
     return F.when(doc_id % 17 != 0, F.date_add(F.lit("2023-01-01").cast("date"), (doc_id % 365).cast("int")))
 

@@ -10,7 +10,7 @@ from chronotext.operators import catalog, retrieval, vectors
 from chronotext.plans.answer import answer_context
 from chronotext.plans.corpus import build_corpus
 from chronotext.plans.evaluate import evaluate
-from chronotext.registry.base import Registry, clock_sql, table, videos
+from chronotext.registry.base import Registry, clock_sql, documents, table, videos
 from chronotext.registry.dedup_queries import VIDEO_PRIORITY, transcripts
 from chronotext.session import cut_lineage, new_dir
 from chronotext.sources.golden import write_report
@@ -297,7 +297,7 @@ def resolve_citations(spark, sf):
 
 @R.add("embed_texts", "select doc_id, 384 as dim, 1.0::double as norm from documents")
 def embed_texts(spark, sf):
-    v = table(spark, sf, "documents").select("doc_id", models.embedding(F.col("text")).alias("v"))
+    v = documents(spark, sf).select("doc_id", models.embedding(F.col("text")).alias("v"))
     return v.select("doc_id", F.size("v").alias("dim"), F.round(F.sqrt(F.aggregate(
         "v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm"))
 

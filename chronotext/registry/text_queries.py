@@ -8,7 +8,7 @@ from chronotext import fixed_values as fixed
 from chronotext import schemas
 from chronotext.functions import text as tx
 from chronotext.operators import retrieval
-from chronotext.registry.base import WORDS_SQL, Registry, clock_sql, table
+from chronotext.registry.base import WORDS_SQL, Registry, clock_sql, documents, table
 from chronotext.session import new_dir
 from chronotext.sources import feeds, golden, segments, tables
 
@@ -57,7 +57,7 @@ select doc_id as video_id, cast(ceil(len(ws) / 20.0) as bigint) as n_segments,
        cast(10 * ceil(len(ws) / 20.0) as double) as last_end, array_to_string(ws, ' ') as full_text
 from w where len(ws) > 0""")
 def read_segments(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     made = d.select("doc_id", segments.segments_from_text(F.col("text")).alias("s"))
     # through the text form, with the end left out, as caption files come
     as_json = made.select("doc_id", F.to_json(F.transform("s", lambda x: F.struct(
@@ -78,7 +78,7 @@ select doc_id as video_id,
             as bigint) as n_segments
 from w where n > 0 and (quality = 1 or lang in ('en', 'fr', 'de'))""")
 def tier_coalesce(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
     seg = lambda df, n: df.select(F.col("doc_id").alias("video_id"), segments.segments_from_text(
         F.col("text"), n).alias("segments"))
@@ -122,7 +122,7 @@ def upsert_ignore_existing(spark, sf):
 
 
 def _golden_rows(spark, sf):
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    d = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
     ws = tx.words(F.col("text"))
     return d.select(
         F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"),
@@ -199,14 +199,14 @@ select doc_id, trim(regexp_replace(regexp_replace({_NO_FILLERS}, '\s+', ' ', 'g'
        as clean_text
 from documents""")
 def normalize_text(spark, sf):
-    d = table(spark, sf, "documents").withColumn("text", F.concat("text", F.lit(" [Music] (noise)  end , so")))
+    d = documents(spark, sf).withColumn("text", F.concat("text", F.lit(" [Music] (noise)  end , so")))
     return d.select("doc_id", tx.normalize_transcript(
         F.col("text"), [*fixed.FILLERS, "of", "de"], stutters=False).alias("clean_text"))
 
 
 @R.add("collapse_stutters")
 def collapse_stutters(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     return d.select("doc_id", tx.normalize_transcript(F.col("text")).alias("clean_text"))
 
 
@@ -226,7 +226,7 @@ select id, case
     else 'native' end as script
 from m""")
 def detect_script(spark, sf):
-    d = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
+    d = documents(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
     c = table(spark, sf, "conversations").select(
         F.concat(F.lit("c"), F.col("conv_id"), F.lit("."), F.col("turn")).alias("id"), "text")
     return d.unionByName(c).select("id", tx.script_of(F.col("text")).alias("script"))
@@ -302,7 +302,7 @@ def parse_timestamp(spark, sf):
 
 @R.add("estimate_tokens", f"select doc_id, len({WORDS_SQL}) + length(text) // 8 as tokens from documents")
 def estimate_tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
+    return documents(spark, sf).select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 @R.add("make_citations", f"""
@@ -314,7 +314,7 @@ select doc_id, case when doc_id % 3 = 0 then 'Recording (' || doc_id || ')' else
        substr(text, 1, 280) || case when length(text) > 280 then '...' else '' end as excerpt
 from s""")
 def make_citations(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     start = F.col("doc_id") * 37 % 9000
     hits = d.select(
         "doc_id", F.col("doc_id").alias("video_id"), F.col("source").alias("channel_title"), start.alias("start_sec"),
@@ -372,7 +372,7 @@ select doc_id, case when contains(lower(source), 'src1') then 'one' when contain
        when contains(lower(source), 'src2') then 'two' else 'rest' end as channel
 from documents""")
 def assign_channel(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.channel_by_rules(
+    return documents(spark, sf).select("doc_id", tx.channel_by_rules(
         F.col("source"), [("src1", "one"), ("5", "five"), ("src2", "two")], "rest").alias("channel"))
 
 
@@ -381,4 +381,4 @@ select doc_id, replace(replace(text, ',', '-'), chr(10), ' ') as clean from docu
 def normalize_punct(spark, sf):
     # em dash for comma, no-break space for newline
     odd = F.replace(F.replace(F.col("text"), F.lit(","), F.lit("\u2014")), F.lit("\n"), F.lit("\u00a0"))
-    return table(spark, sf, "documents").select("doc_id", tx.normalize_punct(odd).alias("clean"))
+    return documents(spark, sf).select("doc_id", tx.normalize_punct(odd).alias("clean"))
