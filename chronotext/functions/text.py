@@ -67,7 +67,7 @@ def drop_fillers(c: Column, fillers: Sequence[str] = tuple(fixed.FILLERS)) -> Co
     if not fillers:
         return c
     any_filler = "|".join(_escape(f) for f in _longest_first(fillers))
-    return F.regexp_replace(c, rf"(?iU)(?:^|(?<=[\s।,?!]))(?:{any_filler})(?=$|[\s।,?!])", " ")
+    return F.regexp_replace(c, rf"(?iU)(?<![^\s।,?!])(?:{any_filler})(?![^\s।,?!])", " ")
 
 
 def tighten(c: Column) -> Column:

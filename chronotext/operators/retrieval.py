@@ -153,8 +153,9 @@ def bold_mention(first_words: Sequence[str]) -> str:
 
 def mentions_of(answers: DataFrame, pattern: str, margin: int, aliases: Sequence[tuple[str, str]]) -> DataFrame:
     """Every time mention of an answer with its seconds and channel; ``margin`` is the length of its brackets."""
-    found = answers.select("answer_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias(
-        "pos", "mention"))
+    # outer, so that Spark does not search every text again to filter on the number of hits
+    found = answers.select("answer_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit(pattern), F.lit(
+        0))).alias("pos", "mention")).where(F.col("mention").isNotNull())
     inner = F.substring("mention", F.lit(margin + 1), F.length("mention") - 2 * margin)
     norm = strip(normalize_punct(inner))
     tail = F.when(norm.rlike(r"[.,;:!]\z"), F.substring(norm, -1, 1)).otherwise("")
