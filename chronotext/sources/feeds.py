@@ -82,5 +82,6 @@ def round_robin(df: DataFrame, channel: str, channel_rank: Column, order: Sequen
         ranked = ranked.where(F.col("channel_position") <= cap)
     ranked = ranked.withColumn("round", F.floor((F.col("channel_position") - 1) / batch) + 1).withColumn(
         "channel_rank", channel_rank)
-    return numbered(ranked, [F.col("round"), F.col("channel_rank"), F.col("channel_position")], F.col("round"),
-                    name="position")
+    # many rounds per slice: the slice counts are summed up in one place and must stay few
+    return numbered(ranked, [F.col("round"), F.col("channel_rank"), F.col("channel_position")],
+                    F.floor(F.col("round") / 1024), name="position")

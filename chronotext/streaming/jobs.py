@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronotext.operators.activity import take_token
@@ -46,17 +47,17 @@ def dedup_ids(stream: DataFrame, ids: Sequence[str], ts: str, lateness: str, out
 
 
 def live_stats(stream: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], out: str, checkpoint: str,
-               interval: str | None = None) -> None:
-    """Keep running totals per key. With ``interval`` (say "30 seconds") the job stays up and refreshes at that pace.
+               interval: str | None = None) -> StreamingQuery | None:
+    """Keep running totals per key. With ``interval`` (say "30 seconds") the job stays up and refreshes at that pace;
+    the running query is returned.
 
     Every refresh is written whole to its own folder, so readers never see half of one.
     """
     totals = stream.groupBy(*keys).agg(*aggregates)
     writer = totals.writeStream.outputMode("complete").foreachBatch(write_batch(out))
     if interval is None:
-        _drain(writer, checkpoint)
-    else:
-        writer.option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+        return _drain(writer, checkpoint)
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
 
 def read_latest_batch(spark: SparkSession, out: str) -> DataFrame:
