@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import line_dedup, sharding
+from chronotext.llm import line_dedup, packing, sharding, token_files
+from chronotext.llm.tokens import default_path
 from chronotext.registry.base import Registry, table
 
 R = Registry()
@@ -24,5 +25,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs)
 
 
+@R.add("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, default_path("byte_bpe_50k.json")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@R.add("op8_token_files")
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.round_trip(spark, docs, default_path("byte_bpe_50k.json"), 2)
+
+
 QUERIES = R.queries
 ORACLE_SQL = R.sql
