@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import line_dedup, packing, sharding, token_files
+from chronotext.llm import bpe, line_dedup, packing, sharding, token_files
 from chronotext.llm.tokens import default_path
 from chronotext.registry.base import Registry, table
 
@@ -32,6 +32,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@R.add("op6_bpe")
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode_words(docs, default_path("word_bpe_49k.json"), digest=True)
+
+
 @R.add("op8_token_files")
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
