@@ -9,15 +9,16 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.llm.tokens import pack
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 NO_PAIR = 1 << 62
-BATCH_BYTES = 4 << 20
+BATCH_CHARS = 2 << 20
 
 
 def merge(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
@@ -78,17 +79,126 @@ def merge(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
     return out
 
 
+class Merges:
+    """Pair ranks as arrays, and ``merge`` for many short words at once: one segment tree per row."""
+
+    def __init__(self, pairs: dict[int, tuple[int, int]]) -> None:
+        self.pairs = pairs
+        keys = np.array(list(pairs), dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.int64(NO_PAIR))
+        self.ranks = np.append(np.array([r for r, _ in pairs.values()], dtype=np.int64)[order], np.int64(-1))
+        self.results = np.zeros(len(pairs), dtype=np.int64)
+        self.results[self.ranks[:-1]] = np.array([i for _, i in pairs.values()], dtype=np.int64)[order]
+
+    def leaf(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+        """Keys of pairs; NO_PAIR where a symbol is missing (negative) or the pair has no merge."""
+        want = left << 32 | right
+        at = np.searchsorted(self.keys, want)
+        hit = (self.keys[at] == want) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.ranks[at] * width + place, NO_PAIR)
+
+    def merge_rows(self, sym: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Merge each row of ``sym`` (its first ``n`` symbols, then -1) in place; returns what is left as a mask."""
+        rows, width = sym.shape
+        half = width - 1
+        places = np.arange(width)
+        tree = np.full((rows, 2 * half), NO_PAIR, dtype=np.int64)
+        tree[:, half:] = self.leaf(sym[:, :-1], sym[:, 1:], places[:-1], width)
+        h = half // 2
+        while h:
+            tree[:, h:2 * h] = np.minimum(tree[:, 2 * h:4 * h:2], tree[:, 2 * h + 1:4 * h:2])
+            h //= 2
+        after = np.broadcast_to(places + 1, sym.shape).copy()
+        before = np.broadcast_to(places - 1, sym.shape).copy()
+        alive = places < n[:, None]
+        live = np.arange(rows)
+        while True:
+            top = tree[live, 1]
+            live, top = live[top != NO_PAIR], top[top != NO_PAIR]
+            if not len(live):
+                return alive
+            i = top % width
+            j = after[live, i]
+            k = after[live, j]
+            merged = self.results[top // width]
+            sym[live, i] = merged
+            alive[live, j] = False
+            after[live, i] = k
+            inner = k < n[live]
+            before[live[inner], k[inner]] = i[inner]
+            right = np.where(inner, sym[live, np.minimum(k, half)], -1)
+            back = before[live, i]
+            left = np.where(back >= 0, sym[live, np.maximum(back, 0)], -1)
+            last = j < half
+            self.update(tree, live[last], j[last], np.full(int(last.sum()), NO_PAIR))
+            self.update(tree, live, i, self.leaf(merged, right, i, width))
+            has = back >= 0
+            self.update(tree, live[has], back[has], self.leaf(left, merged, back, width)[has])
+
+    @staticmethod
+    def update(tree: np.ndarray, rows: np.ndarray, place: np.ndarray, key: np.ndarray) -> None:
+        at = place + tree.shape[1] // 2
+        tree[rows, at] = key
+        while at.size and at[0] > 1:
+            at = at >> 1
+            tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
+
+    def merge_all(self, words: list[list[int]]) -> list[list[int]]:
+        """``merge`` of every word; words of like length share an array, long ones are merged one by one."""
+        out: list[list[int]] = [[]] * len(words)
+        sizes = np.array([len(w) for w in words])
+        low = 1
+        for half in (4, 8, 16, 32):
+            pick = np.flatnonzero((sizes >= low) & (sizes <= half + 1))
+            low = half + 2
+            for part in np.array_split(pick, len(pick) // 4096 + 1):
+                if len(part):
+                    sym = np.full((len(part), half + 1), -1, dtype=np.int64)
+                    inside = np.arange(half + 1) < sizes[part][:, None]
+                    sym[inside] = [i for w in part for i in words[w]]
+                    alive = self.merge_rows(sym, sizes[part])
+                    flat, ends = sym[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
+                    begin = 0
+                    for w, end in zip(part.tolist(), ends, strict=True):
+                        out[w] = flat[begin:end]
+                        begin = end
+        for w in np.flatnonzero(sizes >= low):
+            out[w] = merge(words[w], self.pairs)
+        return out
+
+
 # fixed value: how the pre-tokenizer cuts a lower-case text of plain letters
 PLAIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+"
 PLAIN_WORD = r"[!-;=-~À-ÖØ-öø-ÿ]+"
 
 
+class Memory(dict):
+    """A dictionary that forgets what two generations in a row did not ask for."""
+
+    def __init__(self, size: int) -> None:
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def __contains__(self, key: str) -> bool:
+        return dict.__contains__(self, key) or key in self.old
+
+    def __missing__(self, key: str):
+        value = self[key] = self.old[key]
+        return value
+
+    def age(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """Encode and decode with the merges of a tokenizers file that splits at white space.
 
     The file's own normaliser and pre-tokenizer cut a text into pieces; the merging is this module's. As white space
-    never survives them, each word between blanks or newlines is worked out once and remembered (a fixed number of
-    words, emptied when full). Words of plain Latin letters are cut by the same pattern directly.
+    never survives them, each word between blanks or newlines is worked out once and remembered, as long as it comes
+    up among a fixed number of later ones. Words of plain Latin letters are cut by the same pattern directly.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
@@ -108,54 +218,61 @@ class WordEncoder:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.spell = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.pairs = {self.vocab[a] << 32 | self.vocab[b]: (r, self.vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        self.merges = Merges({self.vocab[a] << 32 | self.vocab[b]: (r, self.vocab[a + b])
+                              for r, (a, b) in enumerate(merges)})
         self.cut_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.plain, self.pieces = re.compile(PLAIN_WORD), re.compile(PLAIN_PIECES)
         letters = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = [b for b in range(256) if b not in letters]
         self.letter = {b: chr(b) for b in letters} | {b: chr(256 + i) for i, b in enumerate(other)}
-        self.known: dict[str, tuple[bytes, bytes]] = {"": (b"", b"")}
-        self.merged: dict[str, list[int]] = {}
         self.remembered = remembered
+        self.words = Memory(remembered)
+        self.merged = Memory(remembered)
 
-    def piece(self, spelled: str) -> list[int]:
-        """Ids of one pre-token in byte letters."""
-        found = self.merged.get(spelled)
-        if found is None:
-            symbols = [*spelled[:-1], spelled[-1] + self.suffix]
-            ids = [self.vocab[s] for s in symbols if s in self.vocab]
-            found = self.merged[spelled] = merge(ids, self.pairs)
-        return found
+    def symbols(self, spelled: str) -> list[int]:
+        vocab = self.vocab
+        return [vocab[c] for c in [*spelled[:-1], spelled[-1] + self.suffix] if c in vocab]
 
-    def word_ids(self, word: str) -> list[int]:
+    def cut(self, word: str) -> list[str | int]:
+        """The pre-tokens of a word in byte letters; the id of a special token where one is spelled out."""
         if self.plain.fullmatch(word):
             letter = self.letter
-            return [i for p in self.pieces.findall(word.lower())
-                    for i in self.piece(p if p.isascii() else "".join([letter[b] for b in p.encode()]))]
+            return [p if p.isascii() else "".join([letter[b] for b in p.encode()])
+                    for p in self.pieces.findall(word.lower())]
         out, at = [], 0
         for hit in [*self.cut_special.finditer(word), None]:
             part = word[at:hit.start() if hit else len(word)]
             if part:
-                for p, _ in self.pre.pre_tokenize_str(self.normalise.normalize_str(part)):
-                    out += self.piece(p)
+                out += [p for p, _ in self.pre.pre_tokenize_str(self.normalise.normalize_str(part))]
             if hit:
                 out.append(self.special[hit.group()])
                 at = hit.end()
         return out
 
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """The ids as little-endian unsigned 32-bit numbers, and the decoded text in UTF-8."""
-        if len(self.known) + len(self.merged) > self.remembered:
-            self.known = {"": (b"", b"")}
-            self.merged = {}
-        words = (text or "").replace("\n", " ").split(" ")
-        known = self.known
-        for w in words:
-            if w not in known:
-                ids = self.word_ids(w)
-                known[w] = pack(ids), self.decode(ids).encode()
-        found = [known[w] for w in words]
-        return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])
+    def learn(self, words: set[str]) -> None:
+        """Work out unknown words: cut them, and merge all pieces that are unknown, many at once."""
+        cuts = {w: self.cut(w) for w in words}
+        new = list({p for c in cuts.values() for p in c if isinstance(p, str) and p not in self.merged})
+        for p, ids in zip(new, self.merges.merge_all([self.symbols(p) for p in new]), strict=True):
+            self.merged[p] = pack(ids), self.decode(ids).encode()
+        for w, c in cuts.items():
+            found = [self.merged[p] if isinstance(p, str) else (pack([p]), self.spell[p].encode()) for p in c]
+            self.words[w] = found[0] if len(found) == 1 else (
+                b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]]))
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Of each text the ids as little-endian unsigned 32-bit numbers, and the decoded text in UTF-8."""
+        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        known = self.words
+        new = {w for w in set().union(*cut) if w not in known}
+        self.learn(new)
+        out = []
+        for words in cut:
+            found = [known[w] for w in words]
+            out.append((b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])))
+        known.age()
+        self.merged.age()
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes where a file names no decoder: the tokens, joined by blanks."""
@@ -174,8 +291,8 @@ def encode_words(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     A null text is empty: no ids and an empty decoded text. Null and repeated keys and repeated rows give a row each.
     An empty table gives no rows. Other columns are not looked at. Nothing is shuffled; batches are bounded in bytes.
     """
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        keys, ids, plain = zip(*rows, strict=True)
+    def emit(keys: list[int | None], rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        ids, plain = zip(*rows, strict=True)
         cols = [pa.array(keys, pa.int64()), pa.array([len(b) // 4 for b in ids], pa.int64())]
         if digest:
             cols += [pa.array([hashlib.sha256(b).hexdigest() for b in part]) for part in (ids, plain)]
@@ -189,15 +306,16 @@ def encode_words(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer).encode
         for batch in batches:
-            rows, size = [], 0
+            keys, texts, size = [], [], 0
             for doc, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows.append((doc, *encode(words.as_py())))
-                size += len(rows[-1][1])
-                if size > BATCH_BYTES:
-                    yield emit(rows)
-                    rows, size = [], 0
-            if rows:
-                yield emit(rows)
+                keys.append(doc)
+                texts.append(words.as_py())
+                size += len(texts[-1] or "")
+                if size > BATCH_CHARS:
+                    yield emit(keys, encode(texts))
+                    keys, texts, size = [], [], 0
+            if keys:
+                yield emit(keys, encode(texts))
 
     kinds = "string, decoded_sha256 string" if digest else "array<long>, decoded string"
     return docs.select(F.col(key).cast("long").alias(key), F.col(text)).mapInArrow(
