@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import fresh
+from chronotext.llm.common import fresh, let
 
 WINDOW = 3
 
 
-def window_hashes(lines: Column) -> Column:
+def window_hashes(text: Column) -> Column:
     """One (h1, h2, pos) per three consecutive lines that hold more than white space; pos counts from 0."""
+    return let(F.split(text, "\n", -1), _window_hashes)
+
+
+def _window_hashes(lines: Column) -> Column:
     def one(i: Column) -> Column:
         part = [F.get(lines, i + k) for k in range(WINDOW)]
         return F.struct(F.xxhash64(*part).alias("h1"), F.xxhash64(F.lit(1), *part).alias("h2"), i.alias("pos"),
@@ -50,7 +54,7 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     lines, h, starts, k = fresh(cols, "_lines", "_hash", "_starts", "_k")
     base = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()))
     windows = base.select(F.col(key).alias("k"), F.col(h).alias("h"), F.inline(
-        window_hashes(F.split(F.col(text), "\n", -1)))).drop("full")
+        window_hashes(F.col(text)))).drop("full")
     place = F.struct(F.col("k").isNull().alias("none"), "k", "h", "pos")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = windows.join(first.drop("n"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
@@ -59,7 +63,7 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     joined = base.join(cover, base[key].eqNullSafe(cover[k]) & (base[h] == cover["_h"]), "left").drop(k, "_h")
     split = F.split(F.col(text), "\n", -1)
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(split))
-    kept = F.when(F.col(starts).isNotNull(), without(split, F.col(starts)))
+    kept = F.when(F.col(starts).isNotNull(), let(split, lambda a: without(a, F.col(starts))))
     joined = joined.withColumn(lines, kept)
     n_out, r_out = fresh(cols, "n_lines", "n_removed")
     return joined.select(

@@ -14,18 +14,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import Scratch, fresh, unit
+from chronotext.llm.common import Scratch, fresh, let, unit
 
 FAN_OUT = 64
 CHUNK_ROWS = 16_384
 TAIL = 12.0
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once: an expression named twice is else computed twice."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
     """The number of good ones among ``drawn`` out of ``total``, by inversion of the exact law at ``u`` in (0, 1).
 
