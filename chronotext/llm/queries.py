@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import bpe, line_dedup, packing, sharding, token_files
+from chronotext.llm import bpe, compression, language, line_dedup, ngram_join, packing, rules, sharding, token_files
 from chronotext.llm.tokens import default_path
 from chronotext.registry.base import Registry, table
 
@@ -32,17 +32,53 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """The fold of a document, by the crc32 of its id as text."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+@R.add("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(4, 2)
+    model = language.train(docs.where(~held))
+    return language.tag(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@R.add("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = held_out(3, 1)
+    model = compression.train(docs, table(spark, sf_dir, "labels").where(~held))
+    scored = docs.select("doc_id", held.alias("held_out"), compression.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @R.add("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_words(docs, default_path("word_bpe_49k.json"), digest=True)
 
 
+@R.add("op7_ngram_join", ngram_join.SQL)
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @R.add("op8_token_files")
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.round_trip(spark, docs, default_path("byte_bpe_50k.json"), 2)
 
 
+@R.add("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = rules.train(docs, table(spark, sf_dir, "labels"))
+    return rules.judge(docs, learned).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = R.queries
 ORACLE_SQL = R.sql
