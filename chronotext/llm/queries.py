@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import bpe, compression, language, line_dedup, ngram_join, packing, rules, sharding, token_files
+from chronotext.llm import bpe, compression, language, line_dedup, ngram_join, packing, rules, sharding, token_files, vectors
 from chronotext.llm.tokens import default_path
 from chronotext.registry.base import Registry, table
 
@@ -46,6 +46,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+@R.add("op4_vectors", vectors.SQL)
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @R.add("op5_quality")
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
