@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.llm.common import Scratch, components
@@ -272,8 +272,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, key: str
         F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "links")
     lists = scratch.write(mine.where("kind = 0").select("token", "node", "n").distinct(), "lists")
     sets = scratch.write(sets_of(docs, base, lists.select("node").distinct(), width), "sets")
-    found, parts = [links], None
-    tried = None
+    found, tried = [links], spark.createDataFrame([], "a long, b long")
     for turn in range(ROUNDS + 1):
         parts = components(_all(found), scratch)
         named = lists.join(parts, "node", "left").select(
@@ -285,18 +284,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, key: str
         rows = named.join(open_lists.select("token", "k", "lead"), "token")
         rows = scratch.write(rows.select("token", "node", "n", "comp", "k", F.col("lead.node").alias("leader"),
                                          F.col("lead.n").alias("m"), F.col("lead.comp").alias("other")), "open")
-        if turn == ROUNDS:
+        if turn == ROUNDS or rows.isEmpty():
             break
         pairs = rows.where(F.col("comp") != F.col("other")).where(fit_in_size("n", "m", percent)).select(
             F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        pairs = scratch.write(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
         hits = scratch.write(linked(pairs, sets, percent), "links")
         found.append(hits)
-    rest = scratch.write(_all([_short(rows, tried, sets, percent), _long(rows, sets, percent)]), "links")
-    parts = components(_all([*found, rest]), scratch)
+    if not rows.isEmpty():
+        found.append(scratch.write(_all([_short(rows, tried, sets, percent), _long(rows, sets, percent)]), "links"))
+        parts = components(_all(found), scratch)
     named = base.where("n > 0").select("doc", "n", "node").join(parts, "node", "left").withColumn(
         "comp", F.coalesce("root", "node"))
     least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
@@ -338,12 +336,18 @@ def _long(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents of ``docs`` that name their component, one row each; all columns stay.
 
-    Rows without words link with nothing and stay. Of repeated rows one stays. Rows with a null key stay only as the
-    rest of components without any other key: one row of each text.
+    Rows without words link with nothing and stay. Of rows with equal key and text one stays; rows that share a key
+    but not the text stay or go together, and stay if one of them names its component. Rows with a null key stay only
+    where their component has no other key, one of each text.
     """
-    groups = near_duplicates(docs, width, percent, key, text)
-    first = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(first, docs[key].eqNullSafe(first["_kept"]), "left_semi").dropDuplicates([key, text])
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    groups = scratch.write(near_duplicates(docs, width, percent, key, text), "groups")
+    kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_kept")).agg(
+        F.count(F.lit(1)).alias("_rows"))
+    kept = scratch.write(kept, "kept")
+    out = docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    # only repeated keys can hold repeated rows, and only then the texts are compared
+    return out if kept.where("_rows > 1").isEmpty() else out.dropDuplicates([key, text])
 
 
 SQL = r"""
