@@ -219,7 +219,7 @@ def predict(model: Model, text: Column) -> Column:
         tagger = Tagger(model)
         for texts in batches:
             names, scores = [NONE] * len(texts), np.zeros(len(texts))
-            lettered = [i for i, t in enumerate(texts) if t and LETTERS.search(t)]
+            lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
             for begin in range(0, len(lettered), 512):
                 part = lettered[begin:begin + 512]
                 if model.labels:
