@@ -9,15 +9,17 @@ where then follows from its rank among those of its length, so no task sees more
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.llm.common import Scratch
-from chronotext.llm.tokens import encoder, pack
+from chronotext.llm.tokens import encoder, narrowest, pack
 
 GROUP_ROWS = 16_384
 BATCH_BYTES = 16 << 20
@@ -115,15 +117,15 @@ def tail_cuts(size: int) -> list[int]:
     return ends
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, key, n, ids): ids of every text with its end id as little-endian 32-bit bytes.
+def token_table(docs: DataFrame, tokenizer: str, end_id: int, code: str, key: str, text: str) -> DataFrame:
+    """(row, key, n, ids): ids of every text with its end id as little-endian bytes, 2 or 4 per id.
 
     ``row`` numbers the rows of this reading, so the result must be stored before it is used twice.
     """
-    end = pack([end_id])
+    end, width = pack([end_id], code), {"H": 2, "I": 4}[code]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, code)
         for batch in batches:
             rows, keys, out, size = batch.column(0), batch.column(1), [], 0
             for words in batch.column(2).to_pylist():
@@ -136,7 +138,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
 
     def emit(rows: pa.Array, keys: pa.Array, out: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [rows[:len(out)], keys[:len(out)], pa.array([len(b) // 4 for b in out], pa.int64()),
+            [rows[:len(out)], keys[:len(out)], pa.array([len(b) // width for b in out], pa.int64()),
              pa.array(out, pa.binary())], names=["row", "key", "n", "ids"])
 
     return docs.select(
@@ -236,19 +238,33 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
                    text: str = "text") -> DataFrame:
     """All texts as pieces of sequences of at most ``window`` tokens.
 
-    Returns key, start, length, doc_tokens, sequence_id, offset and ids (the piece, little-endian 32-bit). Every id
-    lies in one piece; sequences are gapless from 0 and filled to the window, but for the last part-filled one, which
-    is split into powers of two. A null or empty text is its end id alone. Null and repeated keys and repeated rows
-    are documents of their own. An empty table gives no rows. Other columns are not looked at.
+    Returns key, start, length, doc_tokens, sequence_id, offset and ids (the piece, little-endian; 16 bits an id if
+    the vocabulary allows, else 32). Every id lies in one piece; sequences are gapless from 0 and filled to the
+    window, but for the last part-filled one, which is split into powers of two. A null or empty text is its end id
+    alone. Null and repeated keys and repeated rows are documents of their own. An empty table gives no rows. Other
+    columns are not looked at.
 
     The ids are stored once. Ranks come from windows over groups of about 16,000 rows of one length and sums over
     those groups, so a length that a third of the documents share is many groups.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    tokens = scratch.write(token_table(docs, tokenizer, end_id, key, text), "tokens")
+    code = "I" if end_id >= 1 << 16 else narrowest(tokenizer)
+    width = {"H": 2, "I": 4}[code]
+    tokens = scratch.write(token_table(docs, tokenizer, end_id, code, key, text), "tokens")
     pieces = place(tokens.select("row", "n"), window, scratch)
     joined = tokens.join(pieces, "row").select(
         F.col("key").alias(key), F.col("n").alias("doc_tokens"), "ids", F.explode("pieces").alias("p"))
     return joined.select(
         key, "p.start", "p.length", "doc_tokens", "p.sequence_id", "p.offset",
-        F.substring("ids", (F.col("p.start") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int")).alias("ids"))
+        F.substring("ids", (F.col("p.start") * width + 1).cast("int"), (F.col("p.length") * width).cast("int")).alias(
+            "ids"))
+
+
+def wide_crc(ids: Column, length: Column) -> Column:
+    """Unsigned crc32 of ids as little-endian unsigned 32-bit numbers, however they are stored."""
+    @F.pandas_udf("long")
+    def run(ids: pd.Series, length: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(b if len(b) == 4 * n else np.frombuffer(b, "<u2").astype("<u4"))
+                          for b, n in zip(ids, length, strict=True)], dtype="int64")
+
+    return run(ids, length)

@@ -29,7 +29,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, default_path("byte_bpe_50k.json")).select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+        "doc_id", "start", "length", packing.wide_crc(F.col("ids"), F.col("length")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def held_out(modulus: int, remainder: int) -> Column:

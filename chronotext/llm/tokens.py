@@ -20,8 +20,9 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def pack(ids: list[int]) -> bytes:
-    out = array("I", ids)
+def pack(ids: list[int], code: str = "I") -> bytes:
+    """Ids as little-endian unsigned numbers of 32 bits, or of 16 with code H."""
+    out = array(code, ids)
     if sys.byteorder != "little":
         out.byteswap()
     return out.tobytes()
@@ -62,13 +63,14 @@ class TextEncoder:
     by the library itself. Texts with other white space, and tokenizers of another kind, are encoded whole by it. The memory holds a fixed number of words and is emptied when full.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str, code: str = "I", remembered: int = REMEMBERED) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread: Spark fills the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.code = code
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -81,17 +83,17 @@ class TextEncoder:
         self.merges = plain_merges(spec) if self.by_word else None
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
-        self.newline, self.remembered = pack(self.tokenizer.encode("\n", add_special_tokens=False).ids), remembered
+        self.newline, self.remembered = pack(self.tokenizer.encode("\n", add_special_tokens=False).ids, code), remembered
 
     def learn(self, words: list[str], known: dict[str, bytes | None], lead: str) -> None:
         """Add the unknown words; None marks one that can't stand alone, for want of a safe edge."""
-        plain, merge = self.plain.fullmatch, self.merges and self.merges.encode_ordinary
+        code, plain, merge = self.code, self.plain.fullmatch, self.merges and self.merges.encode_ordinary
         for w in words:
             if w not in known:
                 if merge and plain(w):
-                    known[w] = pack(merge(lead + w))
+                    known[w] = pack(merge(lead + w), code)
                 elif w and w[0].isprintable() and w[-1].isprintable():
-                    known[w] = pack(self.tokenizer.encode(lead + w, add_special_tokens=False).ids)
+                    known[w] = pack(self.tokenizer.encode(lead + w, add_special_tokens=False).ids, code)
                 else:
                     known[w] = None
 
@@ -114,10 +116,18 @@ class TextEncoder:
                         self.learn([w for line in lines for w in line], self.later, " ")
                 except TypeError:  # a word that can't stand alone
                     break
-        return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return pack(self.tokenizer.encode(text, add_special_tokens=False).ids, self.code)
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, code: str = "I") -> TextEncoder:
     """One encoder per worker and file; its memory serves all tasks of the worker."""
-    return TextEncoder(path)
+    return TextEncoder(path, code)
+
+
+def narrowest(path: str) -> str:
+    """The code that holds every id of a tokenizer file: H (16 bits) or I (32)."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    last = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens") or [])])
+    return "H" if last < 1 << 16 else "I"
