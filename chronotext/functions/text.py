@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterable, Sequence
 
@@ -50,6 +51,11 @@ def _escape(term: str) -> str:
     return "".join(ch if ch.isalnum() or ch in " _" or ord(ch) > 127 else "\\" + ch for ch in term)
 
 
+def _literal(replacement: str) -> str:
+    """A replacement text in which nothing refers to a group."""
+    return replacement.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def _longest_first(terms: Iterable[str]) -> list[str]:
     return sorted(terms, key=len, reverse=True)
 
@@ -99,9 +105,16 @@ def format_timestamp(seconds: Column) -> Column:
     return F.when(hours > 0, F.concat(two(hours), F.lit(":"), tail)).otherwise(tail)
 
 
+def ascii_digits(c: Column) -> Column:
+    """Decimal digits of any script as 0 to 9."""
+    native = [chr(i) for i in range(128, sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Nd"]
+    plain = "".join(str(unicodedata.decimal(ch)) for ch in native)
+    return F.translate(c, "".join(native), plain)
+
+
 def parse_timestamp(ts: Column) -> Column:
-    """``mm:ss`` or ``hh:mm:ss`` to seconds; anything else is null."""
-    parts = F.split(strip(ts), ":")
+    """``mm:ss`` or ``hh:mm:ss`` to seconds, in digits of any script; anything else is null."""
+    parts = F.split(ascii_digits(strip(ts)), ":")
     part = lambda i: F.get(parts, F.lit(i)).try_cast("bigint")
     return (
         F.when(F.size(parts) == 2, part(0) * 60 + part(1))
@@ -154,9 +167,9 @@ def replace_terms(c: Column, lexicon: dict[str, str], phrases: Sequence[tuple[st
     """Dictionary terms, longest first, then phrase patterns; each hit is set off by spaces."""
     out = strip(F.lower(c))
     for term in _longest_first(lexicon):
-        out = F.regexp_replace(out, _at_word_edges(_escape(term)), f" {lexicon[term]} ")
+        out = F.regexp_replace(out, _at_word_edges(_escape(term)), f" {_literal(lexicon[term])} ")
     for pattern, native in phrases:
-        out = F.regexp_replace(out, _at_word_edges(pattern.replace(r"\b", "")), f" {native} ")
+        out = F.regexp_replace(out, _at_word_edges(pattern.replace(r"\b", "")), f" {_literal(native)} ")
     return squeeze(out)
 
 

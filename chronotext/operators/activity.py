@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronotext.sources.tables import numbered
+from chronotext.sources.tables import null_safe, numbered
 
 
 def micros(ts: Column) -> Column:
@@ -74,7 +74,7 @@ def quiet_runs(events: DataFrame, client: str, at_us: str, seq: str, gap_us: int
     ends = own.groupBy(client, "_slice").agg(F.max("_start").alias("_s"))
     earlier = Window.partitionBy(client).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(client, "_slice", F.last("_s", ignorenulls=True).over(earlier).alias("_carried"))
-    return own.join(ends, [client, "_slice"]).withColumn(
+    return null_safe(own, ends, [client, "_slice"]).withColumn(
         "run", F.coalesce("_local", "_carried")).drop("_own", "_slice", "_start", "_local", "_carried")
 
 
@@ -127,7 +127,7 @@ def retry_queue(log: DataFrame, item: str, failed: Column, order: Sequence[Colum
     last_ok = marked.groupBy(item).agg(
         F.max(F.when(~F.col("_failed"), F.col("_at"))).alias("_ok"), F.count_if("_failed").alias("failures"),
         F.max_by("_failed", "_at").alias("_last_failed"))
-    since = marked.join(last_ok, item).groupBy(item).agg(
+    since = null_safe(marked, last_ok, [item]).groupBy(item).agg(
         F.count_if(F.col("_failed") & (F.col("_ok").isNull() | (F.col("_at") > F.col("_ok")))).alias("attempts"),
         F.first("failures").alias("failures"), F.first("_last_failed").alias("_last_failed"))
     status = (

@@ -109,7 +109,10 @@ def eval_metrics(cases: DataFrame, first_channel: str, second_channel: str) -> D
 
 
 def usage_stats(logs: DataFrame, feedback: DataFrame, group: Sequence[str] = ("day", "llm_provider")) -> DataFrame:
-    """Per group: queries, share answered, latency, and feedback and flags of the same group."""
+    """Per group: queries, share answered, latency, and feedback and flags of the same group.
+
+    Two aggregates side by side and one more over both, so that groups with null keys meet as well.
+    """
     keys = list(group)
     q = logs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_queries"),
@@ -117,7 +120,10 @@ def usage_stats(logs: DataFrame, feedback: DataFrame, group: Sequence[str] = ("d
         F.round(F.avg("latency_ms"), 6).alias("average_latency_ms"), F.max("latency_ms").alias("max_latency_ms"))
     f = feedback.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_feedback"), F.count_if("flagged").alias("flagged_feedback"))
-    return q.join(f, keys, "full").na.fill(0, ["total_queries", "total_feedback", "flagged_feedback"])
+    both = q.unionByName(f, allowMissingColumns=True)
+    names = [*(c for c in q.columns if c not in keys), "total_feedback", "flagged_feedback"]
+    return both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in names]).na.fill(
+        0, ["total_queries", "total_feedback", "flagged_feedback"])
 
 
 def sync_summary(results: DataFrame) -> DataFrame:

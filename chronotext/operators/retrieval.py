@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.functions.models import Scorer, pair_score
-from chronotext.functions.text import case_category, format_timestamp, normalize_punct, parse_timestamp, strip, title_case
+from chronotext.functions.text import (case_category, format_timestamp, is_refusal, normalize_punct, parse_timestamp, strip,
+                                       strip_echoed_question, title_case)
 from chronotext.functions.tokens import lexical_terms, term_overlap
 
 
@@ -195,8 +196,9 @@ def _link_pass(answers: DataFrame, citations: DataFrame, pattern: str, margin: i
     links = nearest_citation(mentions_of(answers, pattern, margin, aliases), citations)
     link = F.concat(F.lit(wrap + "["), F.col("shown"), F.lit("]("), F.col("url"), F.lit(")"), F.col("tail"),
                     F.lit(wrap))
-    packed = links.groupBy("answer_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", link.alias("l")))), lambda x: x["l"]).alias("_l"))
+    # a mention whose time can't be read stays as it stands
+    packed = links.groupBy("answer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        "pos", F.coalesce(link, F.col("mention")).alias("l")))), lambda x: x["l"]).alias("_l"))
     pieces = F.split("text", pattern, -1)
     woven = F.array_join(F.zip_with(pieces, F.col("_l"), lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
     return answers.join(packed, "answer_id", "left").withColumn(
@@ -212,6 +214,30 @@ def resolve_citations(answers: DataFrame, citations: DataFrame, aliases: Sequenc
     return out
 
 
+def finish_answers(answers: DataFrame, citations: DataFrame, aliases: Sequence[tuple[str, str]],
+                   bold_words: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Final answers, their citations, and telemetry, from raw ``answers(query_id, text)`` and ranked citations.
+
+    An answer is cleaned of a repeated question; a refusal loses its citations and counts as not answered, any other
+    gets its time mentions linked. Returns (query_id, answer, answered), the citations that stay, and one log row per
+    answer with empty lists where there are none.
+    """
+    clean = answers.select("query_id", strip_echoed_question(F.col("text")).alias("text"))
+    marked = clean.withColumn("answered", F.coalesce(~is_refusal(F.col("text")), F.lit(False)))
+    kept = citations.join(marked.where("answered").select("query_id"), "query_id", "left_semi")
+    linked = resolve_citations(
+        marked.where("answered").select(F.col("query_id").alias("answer_id"), "text"),
+        kept.select(F.col("query_id").alias("answer_id"), F.col("final_rank").alias("cit_pos"), "channel_id", "video_id",
+                    "start_sec"), aliases, bold_words)
+    final = marked.select("query_id", F.col("text").alias("_raw"), "answered").join(
+        linked.select(F.col("answer_id").alias("query_id"), F.col("text").alias("_linked")), "query_id", "left").select(
+        "query_id", F.coalesce("_linked", "_raw").alias("answer"), "answered")
+    log = marked.select("query_id", "answered").join(log_rows(kept), "query_id", "left")
+    lists = [c for c in log.columns if c not in ("query_id", "answered")]
+    return final, kept, log.withColumns({
+        c: F.coalesce(F.col(c), F.array().cast(log.schema[c].dataType)) for c in lists})
+
+
 def classify_cases(df: DataFrame, text: str, taxonomy: Sequence[tuple]) -> DataFrame:
     """Category of each text with its title and principles; the taxonomy table is as short as its definition."""
     spark = df.sparkSession

@@ -48,24 +48,32 @@ def latest_wins(spark, sf):
 
 
 @R.add("merge_feeds", """
-select o_orderkey, min(feed) as feed, any_value(o_orderdate) as o_orderdate from (
-  select *, 0 as feed from orders where o_orderpriority = '2-HIGH'
-  union all select *, 1 from orders where o_orderstatus = 'F'
-  union all select *, 2 from orders) group by o_orderkey""")
+select key % 5000 as key, min(feed) as feed, arg_min(o_orderdate, (feed, o_orderdate, key)) as o_orderdate,
+  arg_min(key, (feed, o_orderdate, key)) as first_key from (
+  select *, o_orderkey as key, 0 as feed from orders where o_orderpriority = '2-HIGH'
+  union all select *, o_orderkey, 1 from orders where o_orderstatus = 'F'
+  union all select *, o_orderkey, 2 from orders) group by 1""")
 def merge_feeds(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     parts = [o.where("o_orderpriority = '2-HIGH'"), o.where("o_orderstatus = 'F'"), o]
-    merged = feeds.merge_feeds([p.select("o_orderkey", "o_orderdate") for p in parts], "o_orderkey",
-                               [F.col("o_orderdate")])
-    return merged.select("o_orderkey", "feed", "o_orderdate")
+    # ids repeat within a feed as well as across feeds
+    merged = feeds.merge_feeds([p.select((F.col("o_orderkey") % 5000).alias("key"), "o_orderdate", F.col(
+        "o_orderkey").alias("first_key")) for p in parts], "key", [F.col("o_orderdate"), F.col("first_key")])
+    return merged.select("key", "feed", "o_orderdate", "first_key")
+
+
+def _undated():
+    """Order dates, unknown for one order in 17."""
+    return F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderdate")).alias("o_orderdate")
 
 
 @R.add("paged_scan", """
-with p as (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) as position from orders)
+with o as (select o_orderkey, case when o_orderkey % 17 <> 0 then o_orderdate end as d from orders),
+p as (select o_orderkey, row_number() over (order by d nulls first, o_orderkey) as position from o)
 select (position - 1) // 100 + 1 as page, count(*) as n, arg_min(o_orderkey, position) as first_id,
        arg_max(o_orderkey, position) as last_id from p group by 1""")
 def paged_scan(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    o = table(spark, sf, "orders").select("o_orderkey", _undated())
     paged = feeds.pages_of(o, [F.col("o_orderdate"), F.col("o_orderkey")], F.col("o_orderdate"), 100)
     return paged.groupBy("page").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("o_orderkey", "position").alias("first_id"),
@@ -82,14 +90,17 @@ def latest_videos(spark, sf):
 
 
 @R.add("round_robin", """
-with r as (select o_orderkey, cast(o_orderpriority[1] as integer) as channel_rank,
-             row_number() over (partition by o_orderpriority order by o_orderdate, o_orderkey) as channel_position
-           from orders)
+with o as (select o_orderkey, case when o_orderkey % 17 <> 0 then o_orderdate end as d,
+             case when o_orderkey % 23 <> 0 then o_orderpriority end as p from orders),
+r as (select o_orderkey, coalesce(cast(p[1] as integer), 99) as channel_rank,
+             row_number() over (partition by p order by d nulls first, o_orderkey) as channel_position
+           from o)
 select o_orderkey, channel_position, (channel_position - 1) // 10 + 1 as round,
   row_number() over (order by (channel_position - 1) // 10, channel_rank, channel_position) as position from r""")
 def round_robin(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    out = feeds.round_robin(o, "o_orderpriority", F.substring("o_orderpriority", 1, 1).cast("int"),
+    o = table(spark, sf, "orders").select("o_orderkey", _undated(), F.when(
+        F.col("o_orderkey") % 23 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    out = feeds.round_robin(o, "o_orderpriority", F.coalesce(F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(99)),
                             [F.col("o_orderdate"), F.col("o_orderkey")], F.col("o_orderdate"))
     return out.select("o_orderkey", "channel_position", "round", "position")
 
@@ -125,22 +136,24 @@ def count_chunks(spark, sf):
 
 
 @R.add("usage_stats", """
-with q as (select cast(ts as date) as day, event_type as llm_provider, count(*) as total_queries,
+with e as (select *, case when event_id % 13 <> 0 then event_type end as llm_provider from events),
+q as (select cast(ts as date) as day, llm_provider, count(*) as total_queries,
      round(avg(cast(value < 30 as int)), 6) as answered_share,
      round(avg(cast(floor(value * 100) as integer)), 6) as average_latency_ms,
-     max(cast(floor(value * 100) as integer)) as max_latency_ms from events group by all),
-f as (select cast(ts as date) as day, event_type as llm_provider, count(*) as total_feedback,
+     max(cast(floor(value * 100) as integer)) as max_latency_ms from e group by all),
+f as (select cast(ts as date) as day, llm_provider, count(*) as total_feedback,
      count(*) filter (where cast(json_extract_string(props, '$.k') as integer) % 2 = 0) as flagged_feedback
-     from events where event_type in ('error', 'click') group by all)
-select day, llm_provider, total_queries, answered_share, average_latency_ms, max_latency_ms,
+     from e where event_type in ('error', 'click') group by all)
+select q.day, q.llm_provider, total_queries, answered_share, average_latency_ms, max_latency_ms,
   coalesce(total_feedback, 0) as total_feedback, coalesce(flagged_feedback, 0) as flagged_feedback
-from q left join f using (day, llm_provider)""")
+from q left join f on q.day = f.day and q.llm_provider is not distinct from f.llm_provider""")
 def usage_stats(spark, sf):
     e = table(spark, sf, "events").select(
-        F.to_date("ts").alias("day"), F.col("event_type").alias("llm_provider"), (F.col("value") < 30).alias("answered"),
+        F.to_date("ts").alias("day"), F.when(F.col("event_id") % 13 != 0, F.col("event_type")).alias("llm_provider"),
+        F.col("event_type"), (F.col("value") < 30).alias("answered"),
         F.floor(F.col("value") * 100).cast("int").alias("latency_ms"),
         (F.get_json_object("props", "$.k").cast("int") % 2 == 0).alias("flagged"))
-    return catalog.usage_stats(e, e.where("llm_provider in ('error', 'click')"))
+    return catalog.usage_stats(e, e.where("event_type in ('error', 'click')"))
 
 
 _SYNC = """select event_type as channel_id, cast(ts as date) as run_id,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,17 +32,28 @@ def local_session(app: str = "chronotext", cores: int | str = "*", shuffle_parti
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; a machine-local folder is used only where that is unset.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session that runs on this machine alone may leave it
+    unset; it then gets a local folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a running session that was started without it (see --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="package-"), "chronotext"), "zip", root,
+                                  "chronotext")
+    spark.sparkContext.addPyFile(archive)
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

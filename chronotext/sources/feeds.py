@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.sources.tables import latest, numbered
+from chronotext.sources.tables import numbered
 
 
 def read_feed(spark: SparkSession, path: str, url_prefix: str = "https://www.youtube.com/watch?v=") -> DataFrame:
@@ -49,8 +49,10 @@ def merge_feeds(feeds: Sequence[DataFrame], key: str, order: Sequence[Column], c
     for i, feed in enumerate(feeds):
         one = feed.withColumn("feed", F.lit(i))
         tagged = one if tagged is None else tagged.unionByName(one)
-    # the first feed wins, and within it the first row, so the choice does not depend on task order
-    first = latest(tagged.withColumn("_first", -F.col("feed")), [key], [F.col("_first"), *order]).drop("_first")
+    # the first feed wins, and within it the first row in order; a minimum combines before the shuffle
+    rest = [c for c in tagged.columns if c != key]
+    first = tagged.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("feed", *order)).alias("_row")).select(
+        key, "_row.*").select(*tagged.columns)
     if cap <= 0:
         return first
     return first.orderBy("feed", *order).limit(cap)

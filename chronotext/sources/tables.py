@@ -46,7 +46,6 @@ def write_upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Seque
 
     ``partition`` must be a function of the keys (the channel of a video, say), so a key never moves.
     """
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(jpath):
@@ -56,7 +55,7 @@ def write_upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Seque
     else:
         out = latest(updates, keys, version)
     # no repartition by channel here: a channel with a third of all rows is then written by many tasks
-    out.write.mode("overwrite").partitionBy(partition).parquet(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def ensure_parents(children: DataFrame, parents: DataFrame, key: str, stub: dict[str, Column]) -> DataFrame:
@@ -73,21 +72,33 @@ def skip_existing(found: DataFrame, stored: DataFrame, key: str, force: bool = F
     return found if force else found.join(stored.select(key), key, "left_anti")
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be null; the right side's key columns are dropped."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(renamed[f"_r_{k}"])
+    return left.join(renamed, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def numbered(df: DataFrame, order: Sequence[Column], slices: Column, keys: Sequence[str] = (),
-             name: str = "rn") -> DataFrame:
+             name: str = "rn", nulls_last: bool = False) -> DataFrame:
     """1-based position in ``order`` within ``keys``, without sorting a whole key in one task.
 
     ``slices`` is a coarse value that never decreases along ``order``: rows are ranked inside a slice and shifted
-    by the number of rows in earlier slices, which comes from one small count per slice.
+    by the number of rows in earlier slices, which comes from one small count per slice. Null keys are a key like
+    others. Rows with a null slice come first, as nulls do in an ascending ``order``; with ``nulls_last`` they come
+    last, as in a descending one.
     """
     cut = [*keys, "_slice"]
     d = df.withColumn("_slice", slices)
     counts = d.groupBy(*cut).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    along = F.col("_slice").asc_nulls_last() if nulls_last else F.col("_slice").asc_nulls_first()
+    before = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(*cut, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     ranked = d.withColumn("_local", F.row_number().over(Window.partitionBy(*cut).orderBy(*order)))
     return (
-        ranked.join(shifts, cut)
+        null_safe(ranked, shifts, cut)
         .withColumn(name, F.col("_shift") + F.col("_local"))
         .drop("_slice", "_shift", "_local")
     )

@@ -159,3 +159,17 @@ def test_empty_evaluation_groups(spark):
     r = catalog.eval_metrics(df, "a", "b").first()
     assert (r.overall_hit_rate, r.refusal_accuracy, r.false_positive_rate, r.false_negative_rate,
             r.channel_balance_ratio, r.average_latency_ms) == (0.5, 1.0, 0.0, 0.5, 1.0, 15.0)
+
+
+def test_null_clients_and_items_are_kept(spark):
+    rows = [(None, 0, 1), (None, 1_000_000, 2), ("a", 5, 3)]
+    df = spark.createDataFrame(rows, "c string, at long, seq long")
+    got = activity.token_bucket(df, "c", "at", "seq", per_minute=2, burst=1).collect()
+    assert sorted((r["seq"], r["allowed"]) for r in got) == [(1, True), (2, False), (3, True)]
+    log = spark.createDataFrame([(None, 1, True), (None, 2, True), ("x", 1, False)], "i string, t long, bad boolean")
+    queue = activity.retry_queue(log, "i", F.col("bad"), [F.col("t")]).collect()
+    assert [(r["i"], r["attempts"]) for r in queue] == [(None, 2)]
+    turns = spark.createDataFrame([(None, 1, "user", "hi"), (None, 2, "user", "again")],
+                                  "conv string, turn long, role string, text string")
+    seen = activity.recent_history(turns, "conv", "turn").collect()
+    assert sorted(r["history"] for r in seen) == ["", "user: hi"]

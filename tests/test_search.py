@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from chronotext import fixed_values as fixed
 from chronotext.operators import retrieval, vectors
 
 
@@ -150,3 +152,31 @@ def test_embeddings(spark):
     assert all(abs(np.linalg.norm(x) - 1) < 1e-6 for x in v) and (v[0] == v[1]).all() and not (v[0] == v[4]).all()
     own = df.select(embedding(F.col("t"), lambda: (lambda texts: np.array([[len(x)] for x in texts])))).collect()
     assert [r[0] for r in own] == [[5.0], [6.0], [0.0], [0.0], [1.0]]
+
+
+def test_unreadable_times_stay_and_native_digits_are_read(spark):
+    answers = spark.createDataFrame([(1, "See [Main • १२:३४] and [Main 99:99:99:99] or [Main 01:05]."), (2, "none")],
+                                    "answer_id int, text string")
+    cites = spark.createDataFrame([(1, 1, "main", "v1", 60)], "answer_id int, cit_pos int, channel_id string, "
+                                  "video_id string, start_sec int")
+    got = {r["answer_id"]: r["text"] for r in retrieval.resolve_citations(answers, cites, [("main", "main")]).collect()}
+    assert got[2] == "none"
+    assert "t=754" in got[1] and "t=65" in got[1] and "99:99" in got[1]
+
+
+def test_finished_answers(spark):
+    answers = spark.createDataFrame([(1, "Fine [Main 01:05]"), (2, fixed.REFUSAL_PHRASES[0])], "query_id int, text string")
+    cites = spark.createDataFrame(
+        [(q, 1, "main", "v1", 60, "c1", 0.5) for q in (1, 2)],
+        "query_id int, final_rank int, channel_id string, video_id string, start_sec int, chunk_id string, similarity double")
+    final, kept, log = retrieval.finish_answers(answers, cites, [("main", "main")])
+    assert {r["query_id"]: r["answered"] for r in final.collect()} == {1: True, 2: False}
+    assert [r["query_id"] for r in kept.collect()] == [1]
+    rows = {r["query_id"]: r for r in log.collect()}
+    assert rows[1]["retrieved_chunk_ids"] == ["c1"] and rows[2]["retrieved_chunk_ids"] == [] and not rows[2]["answered"]
+
+
+def test_a_scan_yields_no_more_than_k_per_query_and_task():
+    hits = pd.DataFrame({"query_id": [1, 1, 1, 2], "chunk_id": [5, 4, 3, 9], "similarity": [0.5, 0.9, 0.5, 0.1]})
+    best = vectors._best_of(hits, 2)
+    assert list(zip(best["query_id"], best["chunk_id"])) == [(1, 4), (1, 3), (2, 9)]

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronotext import schemas
@@ -99,3 +100,24 @@ def test_stub_parents(spark):
     kids = spark.createDataFrame([("a",), ("b",), ("b",)], "video_id string")
     got = tables.ensure_parents(kids, parents, "video_id", {"title": F.lit("stub")})
     assert {tuple(r) for r in got.collect()} == {("a", "A", 1), ("b", "stub", None)}
+
+
+def test_first_row_of_a_feed_wins_and_undated_rows_stay(spark):
+    one = spark.createDataFrame([("a", 1, "first"), ("a", 2, "second")], "id string, o int, t string")
+    two = spark.createDataFrame([("a", 0, "other"), ("b", 3, "b")], "id string, o int, t string")
+    got = {r["id"]: r["t"] for r in feeds.merge_feeds([one, two], "id", [F.col("o")]).collect()}
+    assert got == {"a": "first", "b": "b"}
+    df = spark.createDataFrame([(1, None, "x"), (2, 5, None), (3, 4, "x"), (4, None, None)], "id int, day int, ch string")
+    paged = feeds.pages_of(df, [F.col("day"), F.col("id")], F.col("day"), 2).collect()
+    assert {r["id"]: r["position"] for r in paged} == {1: 1, 4: 2, 3: 3, 2: 4}
+    assert feeds.round_robin(df, "ch", F.lit(1), [F.col("day"), F.col("id")], F.col("day")).count() == 4
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from chronotext.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
