@@ -5,7 +5,9 @@ Every job has a checkpoint folder; started again on the same folder it goes on w
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,10 +75,20 @@ def read_latest_batch(spark: SparkSession, out: str) -> DataFrame:
 Verdicts = Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]
 
 
-def _stateful(stream: DataFrame, client: str, fn: Verdicts, state: T.StructType) -> DataFrame:
+def _stateful(stream: DataFrame, client: str, fn: Verdicts, state: T.StructType, idle_ms: int | None) -> DataFrame:
+    """``idle_ms``: a client's state is dropped after so long without requests; None keeps it for ever."""
+    def judge(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
+        yield from fn(key, parts, group)
+        if idle_ms is not None:
+            group.setTimeoutDuration(idle_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     out = T.StructType([*stream.schema.fields, T.StructField("allowed", T.BooleanType()),
                         T.StructField("remaining_or_retry", T.LongType())])
-    return stream.groupBy(client).applyInPandasWithState(fn, out, state, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(client).applyInPandasWithState(judge, out, state, "append", timeout)
 
 
 def _in_order(parts: Iterator[pd.DataFrame], at_us: str, seq: str) -> pd.DataFrame:
@@ -84,8 +96,12 @@ def _in_order(parts: Iterator[pd.DataFrame], at_us: str, seq: str) -> pd.DataFra
 
 
 def token_bucket_stream(stream: DataFrame, client: str, at_us: str, seq: str, per_minute: float = 30,
-                        burst: int = 10) -> DataFrame:
-    """Token-bucket verdicts with the bucket as state. A request older than the state adds no tokens."""
+                        burst: int = 10, idle_ms: int | None = None) -> DataFrame:
+    """Token-bucket verdicts with the bucket as state. A request older than the state adds no tokens.
+
+    For a live stream ``idle_ms`` of burst / rate or more bounds the state without changing a verdict: a bucket that
+    was left alone so long is full, as that of an unseen client is. A replay runs faster than its clock; leave it out.
+    """
     rate = per_minute / 60.0
     columns = stream.columns
 
@@ -102,12 +118,15 @@ def token_bucket_stream(stream: DataFrame, client: str, at_us: str, seq: str, pe
         yield pdf[columns].assign(allowed=ok, remaining_or_retry=left)
 
     return _stateful(stream, client, judge, T.StructType([
-        T.StructField("tokens", T.DoubleType()), T.StructField("at", T.LongType())]))
+        T.StructField("tokens", T.DoubleType()), T.StructField("at", T.LongType())]), idle_ms)
 
 
 def sliding_limit_stream(stream: DataFrame, client: str, at_us: str, seq: str, max_requests: int = 30,
-                         window_us: int = 60_000_000, retry_sec: int = 10) -> DataFrame:
-    """Sliding-log verdicts; the state is the client's request times of the last window."""
+                         window_us: int = 60_000_000, retry_sec: int = 10, idle_ms: int | None = None) -> DataFrame:
+    """Sliding-log verdicts; the state is the newest ``max_requests`` request times of the client's last window.
+
+    Older ones can't change a verdict. ``idle_ms`` of the window or more also drops silent clients of a live stream.
+    """
     columns = stream.columns
 
     def judge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -123,26 +142,38 @@ def sliding_limit_stream(stream: DataFrame, client: str, at_us: str, seq: str, m
             ok.append(prior < max_requests)
             left.append(max_requests - prior if prior < max_requests else retry_sec)
             recent.append(at)
-        state.update((recent[first:],))
+        state.update((recent[max(first, len(recent) - max_requests):],))
         yield pdf[columns].assign(allowed=ok, remaining_or_retry=left)
 
-    return _stateful(stream, client, judge, T.StructType([T.StructField("times", T.ArrayType(T.LongType()))]))
+    return _stateful(stream, client, judge, T.StructType([T.StructField("times", T.ArrayType(T.LongType()))]), idle_ms)
 
 
 def incremental_sync(stream: DataFrame, marks: DataFrame, process: Callable[[DataFrame], DataFrame], out: str,
-                     status_out: str, checkpoint: str) -> None:
+                     status_out: str, checkpoint: str, marks_out: str | None = None) -> None:
     """Ingest what is new per channel.
 
     ``stream``: video_id, channel_id, upload_date. ``marks``: channel_id, last_synced_at. Rows from before the day of
     the last sync are skipped; the rest go through ``process``, which returns video_id, channel_id, status, error.
-    Each batch writes its results and its sync_status rows to folders of its own.
+    Each batch writes its results and its sync_status rows, with the times it began and ended, to folders of its own.
+    When all is read, the marks of the channels that were synced without an error move to the end of their last batch
+    and are written to ``marks_out``, for the next run. They stand still during a run, whose batches belong together.
     """
+    ran = []
+
     def handle(df: DataFrame, batch_id: int) -> None:
+        ran.append(batch_id)
+        began = dt.datetime.now(dt.timezone.utc)
         write_batch(out)(process(new_since(df, marks)), batch_id)
         results = df.sparkSession.read.parquet(f"{out}/batch_id={batch_id}").withColumn("run_id", F.lit(batch_id))
-        write_batch(status_out)(sync_summary(results), batch_id)
+        write_batch(status_out)(sync_summary(results).withColumns({
+            "last_sync_started_at": F.lit(began), "last_sync_completed_at": F.lit(dt.datetime.now(dt.timezone.utc))}),
+            batch_id)
 
     _drain(stream.writeStream.foreachBatch(handle), checkpoint)
+    if marks_out:
+        done = [stream.sparkSession.read.parquet(f"{status_out}/batch_id={b}") for b in ran]
+        done = reduce(DataFrame.unionByName, done).where("status = 'completed'") if done else None
+        (marks if done is None else advance_marks(marks, done)).write.mode("overwrite").parquet(marks_out)
 
 
 def new_since(found: DataFrame, marks: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronotext.operators import activity, catalog
 from chronotext.session import new_dir
@@ -136,6 +137,60 @@ def test_incremental_sync(spark):
     assert jobs.advance_marks(marks, done).count() == 2
 
 
+def test_marks_move_and_the_next_run_takes_only_what_is_new(spark):
+    folder, out, status, moved = (new_dir(spark, x) for x in ("in", "out", "st", "marks"))
+    today = F.current_date()
+    days = [("old", "a", F.date_sub(today, 30)), ("bad", "b", today)]
+    put = lambda name, ch, day: spark.range(1).select(F.lit(name).alias("video_id"), F.lit(ch).alias(
+        "channel_id"), day.alias("upload_date")).coalesce(1).write.mode("append").parquet(folder)
+    for d in days:
+        put(*d)
+    marks = spark.createDataFrame([], "channel_id string, last_synced_at timestamp")
+    process = lambda df: df.select("video_id", "channel_id", F.lit("success").alias("status"), F.when(
+        F.col("video_id") == "bad", "no audio").alias("error"))
+    jobs.incremental_sync(jobs.file_stream(spark, folder, spark.read.parquet(folder).schema), marks, process, out, status,
+                          new_dir(spark, "ck"), moved)
+    after = spark.read.parquet(moved)
+    assert [r.channel_id for r in after.collect()] == ["a"]  # the failed channel keeps its place
+    row = spark.read.parquet(status).where("channel_id = 'a'").first()
+    assert row.last_sync_started_at <= row.last_sync_completed_at
+    put("new", "a", F.date_add(today, 1))
+    again = new_dir(spark, "out2")
+    jobs.incremental_sync(jobs.file_stream(spark, folder, spark.read.parquet(folder).schema), after, process, again,
+                          new_dir(spark, "st2"), new_dir(spark, "ck2"))
+    assert sorted(r.video_id for r in spark.read.parquet(again).collect()) == ["bad", "new"]
+
+
+def test_state_of_idle_clients_is_dropped():
+    class State:
+        def __init__(self, timed_out):
+            self.hasTimedOut, self.removed, self.idle = timed_out, False, None
+
+        def remove(self):
+            self.removed = True
+
+        def setTimeoutDuration(self, ms):
+            self.idle = ms
+
+    seen = []
+
+    class Stream:
+        schema = T.StructType([T.StructField("c", T.StringType())])
+
+        def groupBy(self, *_):
+            return self
+
+        def applyInPandasWithState(self, fn, *rest):
+            seen.append((fn, rest[-1]))
+
+    jobs._stateful(Stream(), "c", lambda k, parts, state: iter(["verdicts"]), T.StructType(), 20_000)
+    fn, kind = seen[0]
+    assert kind == jobs.GroupStateTimeout.ProcessingTimeTimeout
+    gone, live = State(True), State(False)
+    assert list(fn(("a",), iter([]), gone)) == [] and gone.removed
+    assert list(fn(("a",), iter([]), live)) == ["verdicts"] and live.idle == 20_000
+
+
 def test_recent_history(spark):
     rows = [(c, 3 * t, "user" if t % 2 == 0 else "assistant", f"m{t}") for c in range(2) for t in range(40)]
     df = spark.createDataFrame(rows, "c int, turn int, role string, text string")
