@@ -214,16 +214,19 @@ _LATIN = r"regexp_extract_all(lower(text), '[a-z]+')"
 _LETTERS = r"regexp_replace(text, '[^\pL\pN_]|\p{Nd}', '', 'g')"
 
 
-@R.add("detect_script", rf"""
-with t as (select 'd' || doc_id as id, text from documents
-           union all select 'c' || conv_id || '.' || turn, text from conversations),
-m as (select id, {_LATIN} as latin, {_LETTERS} as letters from t)
-select id, case
+_SCRIPT = rf"""case
     when len(latin) > 0 and len(list_filter(latin, lambda w: list_contains({_list(fixed.ENGLISH_WORDS)}, w))) / len(latin)
          >= 0.35 then 'english'
     when length(letters) > 0 and length(regexp_replace(letters, '[^a-zA-Z]', '', 'g')) / length(letters) >= 0.4
          then 'romanised'
-    else 'native' end as script
+    else 'native' end"""
+
+
+@R.add("detect_script", rf"""
+with t as (select 'd' || doc_id as id, text from documents
+           union all select 'c' || conv_id || '.' || turn, text from conversations),
+m as (select id, {_LATIN} as latin, {_LETTERS} as letters from t)
+select id, {_SCRIPT} as script
 from m""")
 def detect_script(spark, sf):
     d = documents(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
@@ -251,10 +254,19 @@ def apply_lexicon(spark, sf):
         "conv_id", "turn", tx.replace_terms(F.col("text"), _LEX, _PHR).alias("normalized"))
 
 
-@R.add("normalize_query")
+# every third turn gets accents as separate marks, which NFC joins to their letters
+@R.add("normalize_query", rf"""
+with t as (select conv_id, turn, case when turn % 3 = 0 then 'a' || chr(769) || 'é ' || text || ' cafe' || chr(769)
+             when turn % 3 = 1 then 'мост ' || text || ' и' || chr(774) else text end as text from conversations),
+m as (select *, {_LATIN} as latin, {_LETTERS} as letters from t)
+select conv_id, turn, case {_SCRIPT} when 'english' then trim(text) when 'romanised' then {_lexicon_sql()}
+  else trim(nfc_normalize(text)) end as normalized
+from m""")
 def normalize_query(spark, sf):
+    marked = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("a\u0301é "), "text", F.lit(" cafe\u0301"))).when(
+        F.col("turn") % 3 == 1, F.concat(F.lit("мост "), "text", F.lit(" и\u0306"))).otherwise(F.col("text"))
     return table(spark, sf, "conversations").select(
-        "conv_id", "turn", tx.normalize_query(F.col("text")).alias("normalized"))
+        "conv_id", "turn", tx.normalize_query(marked, _LEX, _PHR).alias("normalized"))
 
 
 @R.add("keyword_search", """
