@@ -1,11 +1,14 @@
 """Near-duplicate vectors by product quantisation over coarse inverted lists, with an exact rerank.
 
 Unit vectors are assigned to the nearest of some coarse centres; the residual is cut into subspaces and each part is
-coded by the nearest of 256 sub-centres. A vector then looks for partners in the lists that can hold one: a partner
-within distance r lies across the bisector of two centres only if the vector is within r of it. In those lists
-distances are read from tables (asymmetric: the vector as it is, its partner as coded), and since the coding error of
-each partner is stored, the triangle inequality turns a table distance into a bound that loses nothing. What is left
-is compared by its exact cosine in double precision. So the probes and the tables save work, not links.
+coded by the nearest of 256 sub-centres. A vector then looks for partners in the lists that are likely to hold one: a
+partner within distance r lies across the bisector of two centres only if the vector is within r of it, and the
+displacement of a partner in a direction of its own reaches only about r / sqrt(dimension) along the line between
+them. MARGIN is how many such deviations are probed. In those lists distances are read from tables (asymmetric: the
+vector as it is, its partner as coded), and since the coding error of each partner is stored, the triangle inequality
+turns a table distance into a bound that loses nothing. What is left is compared by its exact cosine in double
+precision. So no false link is found, and a link is missed only if its partner is displaced straight across a far
+bisector; a MARGIN of sqrt(dimension) or more excludes that too.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from pyspark.sql import functions as F
 
 from chronotext.llm.common import Scratch, components
 
-FIT_ROWS = 20_000    # vectors that the quantiser is fitted on, at most
-CELL_ROWS = 400      # coarse centres: one per so many rows of the sample, up to MAX_CELLS
-MAX_CELLS = 512
+FIT_ROWS = 40_000    # vectors that the quantiser is fitted on, at most
+CELL_ROWS = 200      # coarse centres: one per so many vectors of the table, up to MAX_CELLS
+MAX_CELLS = 4096
+MARGIN = 4.0         # standard deviations of a partner's displacement that are probed
 CODES = 256
 PARTS = 8
 BLOCK = 1024         # members of a cell that are compared at once
@@ -43,21 +47,21 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmin((centres ** 2).sum(axis=1)[None, :] - 2 * (x @ centres.T), axis=1)
+    square = (centres ** 2).sum(axis=1)[None, :]
+    return np.concatenate([np.empty(0, dtype=np.int64), *[
+        np.argmin(square - 2 * (x[i:i + 2048] @ centres.T), axis=1) for i in range(0, len(x), 2048)]])
 
 
 class Quantiser:
     """Coarse centres and the sub-centres of the residuals."""
 
-    def __init__(self, sample: np.ndarray, seed: int = 4) -> None:
+    def __init__(self, sample: np.ndarray, rows: int, seed: int = 4) -> None:
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
-        self.coarse = kmeans(sample, min(MAX_CELLS, len(sample) // CELL_ROWS + 1), rng)
+        self.coarse = kmeans(sample, min(MAX_CELLS, len(sample) // 4 + 1, rows // CELL_ROWS + 1), rng)
         residual = sample - self.coarse[nearest(sample, self.coarse)]
         self.cuts = np.array_split(np.arange(self.dim), min(PARTS, self.dim))
         self.books = [kmeans(residual[:, c], CODES, rng) for c in self.cuts]
-        gap = self.coarse[:, None, :] - self.coarse[None, :, :]
-        self.apart = np.sqrt((gap ** 2).sum(axis=2))
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cell, codes, and the distance from the vector to its coded form."""
@@ -68,13 +72,16 @@ class Quantiser:
         return cell, codes.astype(np.uint8), np.sqrt(((residual - back) ** 2).sum(axis=1))
 
     def probes(self, x: np.ndarray, cell: np.ndarray, radius: float) -> np.ndarray:
-        """For each vector the cells that can hold a vector within the radius; its own is one of them."""
-        d = np.maximum((x ** 2).sum(axis=1)[:, None] + (self.coarse ** 2).sum(axis=1) - 2 * (x @ self.coarse.T), 0)
+        """For each vector the cells to search for vectors within the radius; its own is one of them."""
+        square = (self.coarse ** 2).sum(axis=1)
+        d = square[None, :] - 2 * (x @ self.coarse.T)
         own = d[np.arange(len(x)), cell][:, None]
-        apart = self.apart[cell]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            past = np.where(apart > 0, (d - own) / (2 * apart), 0)
-        return past <= radius + SLACK
+        home = self.coarse[cell]
+        apart = np.sqrt(np.maximum(square[cell][:, None] + square[None, :] - 2 * (home @ self.coarse.T), 0))
+        past = (d - own) / (2 * np.maximum(apart, 1e-12))
+        out = past <= radius * min(1.0, MARGIN / np.sqrt(self.dim)) + SLACK
+        out[np.arange(len(x)), cell] = True
+        return out
 
     def table_distances(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Distances from vectors to the coded members of one cell, summed from a table per subspace."""
@@ -191,7 +198,7 @@ def near_vectors(rows: DataFrame, least: float = 0.95, key: str = "vec_id", vect
     sample = nodes.orderBy(F.xxhash64(F.lit(1), "node")).limit(FIT_ROWS).select("vec").toPandas()["vec"]
     if len(sample):
         x = np.frombuffer(b"".join(sample), dtype=np.float64).reshape(len(sample), -1)
-        links = scratch.write(_links(nodes, Quantiser(x), least, scratch), "links")
+        links = scratch.write(_links(nodes, Quantiser(x, nodes.count()), least, scratch), "links")
         parts = components(links.where("b is not null").select("a", "b"), scratch)
         counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
         nodes = nodes.select("node", "copies").join(counts, "node", "left").join(parts, "node", "left")
@@ -218,11 +225,12 @@ def _links(nodes: DataFrame, quantiser: Quantiser, least: float, scratch: Scratc
             raw = batch.column(1).to_pylist()
             x = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(raw), -1)
             cell, codes, error = quantiser.encode(x)
-            probes = quantiser.probes(x, cell, radius)
+            probes = [np.flatnonzero(p).tolist() for i in range(0, len(x), 1024)
+                      for p in quantiser.probes(x[i:i + 1024], cell[i:i + 1024], radius)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(cell.astype(np.int32)),
                  pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
-                 pa.array([np.flatnonzero(p).tolist() for p in probes], pa.list_(pa.int32()))],
+                 pa.array(probes, pa.list_(pa.int32()))],
                 names=["node", "vec", "copies", "cell", "codes", "error", "probes"])
 
     stored = scratch.write(nodes.select("node", "vec", "copies").mapInArrow(

@@ -394,7 +394,7 @@ def brute_vectors(rows, least):
 @pytest.mark.parametrize("small", [False, True])
 def test_vectors(spark, monkeypatch, small):
     if small:
-        for k, v in {"BLOCK": 7, "SEEK_BLOCK": 11, "CELL_ROWS": 9, "FIT_ROWS": 60}.items():
+        for k, v in {"BLOCK": 7, "SEEK_BLOCK": 11, "CELL_ROWS": 9, "FIT_ROWS": 60, "MARGIN": 9.0}.items():
             monkeypatch.setattr(vectors, k, v)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 8))
@@ -467,12 +467,9 @@ def test_compression(spark, docs, none):
 
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(0)
-    k, n = 3, 5
+    k, n = 3, 7
     emit, trans = rng.normal(size=(n, 2, k)), rng.normal(size=(k, k))
-    mask = np.ones((n, 2), dtype=bool)
-    mask[3:, 1] = False
-    emit[3:, 1] = 0
-    got = language.forward_backward(emit, trans, mask)
+    got = language.forward_backward(emit, trans, np.array([n, 3]))
     for c, length in ((0, n), (1, 3)):
         total, by = 0.0, np.zeros((length, k))
         for path in np.ndindex(*[k] * length):
@@ -496,7 +493,7 @@ def test_language(spark, docs, none):
     assert all(got[i]["lang_pred"] == y for i, _, y in rows)
     mixed = ["the and thing where other " * 3 + "le eau quelle notre étaient " * 3]
     post = language.forward_backward(language.emissions(mixed[0].split(), model)[:, None], model.transitions,
-                                     np.ones((30, 1), dtype=bool))[:, 0].argmax(axis=1)
+                                     np.array([30]))[:, 0].argmax(axis=1)
     names = [model.labels[i] for i in post]
     assert names[:12] == ["en"] * 12 and names[18:] == ["fr"] * 12  # words of a code-switched text
     odd = language.tag(docs.withColumnRenamed("source", "score"), model)
@@ -509,3 +506,19 @@ def test_language(spark, docs, none):
     empty = language.train(none)
     assert {r["lang_pred"] for r in language.tag(df, empty).collect()} == {"und"}
     assert json.dumps(model.labels)
+
+
+def test_vectors_recall_with_many_cells(spark, monkeypatch):
+    """The default margin against brute force: links just above the threshold, in directions of their own."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 15)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(150, 64))
+    x = np.repeat(centres, 4, axis=0)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) + rng.normal(size=x.shape) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, 0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vectors.near_vectors(df).agg(F.sum("n_links")).first()[0]
+    want = int((s >= 0.95).sum())
+    assert want > 1000 and 0.9 * want <= got <= want
