@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,30 +64,35 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     e = edges.where("a is not null and b is not null and a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now = scratch.write(e, "edges")
+    state = _digest(now)
     for _ in range(max_rounds):
+        if not state[0]:
+            return _star_rows(now)
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         # large star: every larger neighbour of a hangs on a's smallest neighbour
         large = now.select(F.col("b").alias("x"), F.col("a")).join(low, "a").select(
-            F.col("m").alias("a"), F.col("x").alias("b"))
-        large = large.where("a < b").distinct()
+            F.col("m").alias("a"), F.col("x").alias("b")).where("a < b").distinct()
         # small star: the smaller neighbours of b, and b, hang on b's smallest
-        small_low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(small_low, "b").select("m", "a", "b")
+        small = large.join(large.groupBy("b").agg(F.min("a").alias("m")), "b").select("m", "a", "b")
         step = small.select(F.col("m").alias("a"), F.col("b")).unionByName(
             small.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
         nxt = scratch.write(step, "edges")
-        # done when every node hangs on exactly one node that hangs on none
-        one = nxt.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
-        flat = one and nxt.join(nxt.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count() == 0
+        before, state = state, _digest(nxt)
         scratch.drop(now)
         now = nxt
-        if flat:
-            roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-            return roots.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        if state == before:  # stars stay as they are, anything else moves
+            return _star_rows(now)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def slices(rows: list, size: int) -> Iterator[list]:
-    for i in range(0, len(rows), size):
-        yield rows[i:i + size]
+def _star_rows(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
+        stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def _digest(edges: DataFrame) -> tuple[int, int, int]:
+    """Count and two order-free hash sums of a set of edges."""
+    r = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.shiftright(F.xxhash64("a", "b"), 40)), F.lit(0)),
+                  F.coalesce(F.sum(F.shiftright(F.xxhash64("b", "a"), 40)), F.lit(0))).first()
+    return r[0], r[1], r[2]

@@ -111,14 +111,14 @@ def texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def base_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc, n, node, sample): set size, node, and twice as many smallest hashes as a prefix has, to count shingles."""
+    """(doc, n, node, sample): set size, node, and as many smallest hashes as a prefix has, to count shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) for s in sets], pa.int64()),
-                lists_of([s[:2 * prefix_length(len(s), percent)] for s in sets])],
+                lists_of([s[:prefix_length(len(s), percent)] for s in sets])],
                 names=["doc", "n", "node", "sample"])
 
     return docs.mapInArrow(run, "doc long, n long, node long, sample array<long>")
@@ -199,8 +199,20 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         run, "a long, b long")
 
 
-def fit_in_size(n: str, m: str, percent: int):
-    return (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
+def plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and shared list entries allow the threshold.
+
+    Whichever prefix ends first in the order, all shared shingles up to its end are entries of both; so the overlap
+    is at most the shared entries and what the larger set has past its prefix.
+    """
+    x = heads.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("tokens").alias("x"))
+    y = heads.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
+    most = F.greatest("n", "m")
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent) - 1e-9)
+    past = F.ceil(F.lit(percent) * most / F.lit(100) - 1e-9) - 1
+    return pairs.join(x, "a").join(y, "b").where(
+        (100 * F.least("n", "m") >= percent * most) & (F.size(F.array_intersect("x", "y")) + past >= need)).select(
+        "a", "b")
 
 
 def forest(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -253,48 +265,67 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, key: str
     scratch = Scratch(spark, "ngram-join")
     docs = texts(docs, key, text)
     base = scratch.write(base_table(docs, width, percent), "base")
-    counts = base.select(F.explode("sample").alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    counts = scratch.write(counts, "counts")
+    counts = scratch.write(base.select(F.explode("sample").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("c")).where(F.col("c") > 1), "counts")
     stats = counts.agg(F.sum(F.col("c") * F.col("c")), F.sum("c")).first()
     entries = base.agg(F.sum(F.size("sample"))).first()[0] or 0
-    mean_list = 1.0 + ((stats[0] or 0) - (stats[1] or 0)) / max(entries, 1)
-    light = light_boundary(mean_list, percent)
+    light = light_boundary(1.0 + ((stats[0] or 0) - (stats[1] or 0)) / max(entries, 1), percent)
     top = counts.where(F.col("c") >= COMMON).orderBy(F.desc("c"), "token").limit(COMMON_KEPT).select("token")
     often = np.sort(top.toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64))
-    sent = spark.sparkContext.broadcast(often)
-    marks = scratch.write(signatures(docs, sent, width, percent, light), "marks")
-    shared = marks.groupBy("kind", "token").agg(F.min("node").alias("low"), F.max("node").alias("high"),
-                                                F.count(F.lit(1)).alias("k")).where("low <> high")
-    mine = scratch.write(marks.join(shared, ["kind", "token"]).select(
-        "kind", "token", "node", "n", "low", "k"), "shared")
-    links = scratch.write(mine.where("kind > 0 and node <> low").select(
-        F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "links")
-    lists = scratch.write(mine.where("kind = 0").select("token", "node", "n").distinct(), "lists")
-    sets = scratch.write(sets_of(docs, base, lists.select("node").distinct(), width), "sets")
-    found, tried = [links], spark.createDataFrame([], "a long, b long")
+    marks = scratch.write(signatures(docs, spark.sparkContext.broadcast(often), width, percent, light), "marks")
+    entry = marks.where("kind = 0").select("token", "node", "n")
+    met = entry.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    lists = scratch.write(entry.join(met, "token").distinct(), "lists")
+    heads = scratch.write(lists.groupBy("node", "n").agg(F.collect_list("token").alias("tokens")), "heads")
+    subset = marks.where("kind > 0")
+    star = subset.groupBy("kind", "token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(
+        "low <> high")
+    parts = components(subset.join(star, ["kind", "token"]).select(
+        F.col("node").alias("a"), F.col("low").alias("b")), scratch)
+    parts = scratch.write(parts, "parts")
+    tried = scratch.write(spark.createDataFrame([], "a long, b long"), "pairs")
+    sets = scratch.write(spark.createDataFrame([], "node long, n long, items binary"), "sets")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """Links among new pairs; the sets of nodes that were not needed before are fetched."""
+        nonlocal tried, sets
+        new = scratch.write(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(new)
+        close = scratch.write(plausible(new, heads, percent), "close")
+        sets = fetch(close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))))
+        return linked(close, sets, percent)
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        fresh_nodes = scratch.write(nodes.distinct().join(sets.select("node"), "node", "left_anti"), "wanted")
+        return sets if fresh_nodes.isEmpty() else sets.unionByName(
+            scratch.write(sets_of(docs, base, fresh_nodes, width), "sets"))
+
+    def merged(links: DataFrame) -> DataFrame:
+        grown = parts.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return scratch.write(components(grown.unionByName(links), scratch), "parts")
+
     for turn in range(ROUNDS + 1):
-        parts = components(_all(found), scratch)
         named = lists.join(parts, "node", "left").select(
             "token", "node", "n", F.coalesce("root", "node").alias("comp"))
         # a list is open while its members lie in two components; its leader changes from round to round
         open_lists = named.groupBy("token").agg(
             F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("k"),
             F.min(F.struct(F.xxhash64(F.lit(turn), "comp"), "n", "node", "comp")).alias("lead")).where("c1 <> c2")
-        rows = named.join(open_lists.select("token", "k", "lead"), "token")
-        rows = scratch.write(rows.select("token", "node", "n", "comp", "k", F.col("lead.node").alias("leader"),
-                                         F.col("lead.n").alias("m"), F.col("lead.comp").alias("other")), "open")
-        if turn == ROUNDS or rows.isEmpty():
+        rows = scratch.write(named.join(open_lists.select("token", "k", "lead"), "token").select(
+            "token", "node", "n", "comp", "k", F.col("lead.node").alias("leader"), F.col("lead.comp").alias("other")),
+            "open")
+        if rows.isEmpty():
             break
-        pairs = rows.where(F.col("comp") != F.col("other")).where(fit_in_size("n", "m", percent)).select(
-            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        pairs = scratch.write(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        hits = scratch.write(linked(pairs, sets, percent), "links")
-        found.append(hits)
-    if not rows.isEmpty():
-        found.append(scratch.write(_all([_short(rows, tried, sets, percent), _long(rows, sets, percent)]), "links"))
-        parts = components(_all(found), scratch)
+        if turn < ROUNDS:
+            links = check(rows.where(F.col("comp") != F.col("other")).select(
+                F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
+        else:
+            links = check(_short_pairs(rows, percent))
+            many = rows.where(F.col("k") > SHORT_LIST)
+            if not many.isEmpty():
+                sets = fetch(many.select("node"))
+                links = links.unionByName(_long_links(many, sets, percent))
+        parts = merged(scratch.write(links, "links"))
     named = base.where("n > 0").select("doc", "n", "node").join(parts, "node", "left").withColumn(
         "comp", F.coalesce("root", "node"))
     least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
@@ -303,27 +334,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, key: str
     return whole.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _short(rows: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components in short open lists: at most SHORT_LIST partners per entry."""
+def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components in short open lists: at most SHORT_LIST partners per entry."""
     short = rows.where(F.col("k") <= SHORT_LIST)
-    x = short.select("token", F.col("node").alias("a"), F.col("n").alias("n"), F.col("comp").alias("p"))
+    x = short.select("token", F.col("node").alias("a"), "n", F.col("comp").alias("p"))
     y = short.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("q"))
-    pairs = x.join(y, "token").where("a < b and p <> q").where(fit_in_size("n", "m", percent)).select(
-        "a", "b").distinct()
-    return linked(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent)
+    return x.join(y, "token").where("a < b and p <> q").where(
+        100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b")
 
 
-def _long(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _long_links(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components in long open lists, compared in cells of two blocks of about BLOCK sets."""
-    blocks = F.ceil(F.col("k") / BLOCK)
-    cut = rows.where(F.col("k") > SHORT_LIST).withColumn("blocks", blocks).withColumn(
+    cut = many.withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn(
         "own", F.pmod(F.xxhash64("node", "token"), F.col("blocks")))
     cell = cut.select("token", "node", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col(
         "blocks") - 1)).alias("with"))
