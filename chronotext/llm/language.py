@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +19,9 @@ LANGUAGES = 64        # the most frequent labels, at most
 LEXICON = 400         # frequent words per language that are features of their own
 BUCKETS = 1 << 16
 CHAIN, CHAINS, STEPS = 40, 64, 160
-REMEMBERED = 150_000
+REMEMBERED = 300_000
+CELLS = 1 << 20      # words of a batch of chains, with padding
+BATCH_CHARS = 24 << 20
 NONE = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -35,15 +36,48 @@ class Model:
     lexicon: dict[str, tuple[int, ...]]
 
 
-def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
-    """Hashed affixes and character n-grams of the word's letters, and its lexicon entries."""
-    w = "".join(LETTERS.findall(word))
-    if not w:
-        return []
-    b = f"^{w}$"
-    names = [f"p{w[:k]}" for k in (1, 2, 3) if len(w) >= k] + [f"s{w[-k:]}" for k in (1, 2, 3, 4) if len(w) >= k]
-    names += [b[i:i + 2] for i in range(len(b) - 1)] + [b[i:i + 3] for i in range(len(b) - 2)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names] + list(lexicon.get(w, ()))
+def letters_of(word: str) -> str:
+    return word if word.isalpha() else "".join(LETTERS.findall(word))
+
+
+def features(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all words, and the place of the word that each belongs to.
+
+    Prefixes of one to three letters, suffixes of one to four, two- and three-letter sequences with the word's ends,
+    all hashed by polynomials over the letters' code points, and the word's entries in the lexicon. A word without
+    letters has none.
+    """
+    spelled = [letters_of(w) for w in words]
+    size = np.array([len(w) for w in spelled], dtype=np.int64)
+    code = np.frombuffer("".join(f"^{w}$" for w in spelled).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    code = code.astype(np.uint64)
+    first = np.concatenate([[0], np.cumsum(size + 2)[:-1]]).astype(np.int64) if len(words) else size
+    owner = np.repeat(np.arange(len(words)), size + 2)
+    place = np.arange(len(code)) - first[owner]
+    numbers, owners = [], []
+
+    def add(kind: int, starts: np.ndarray, n: int, of: np.ndarray) -> None:
+        h = np.full(len(starts), np.uint64(kind + 1))
+        with np.errstate(over="ignore"):
+            for i in range(n):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + code[starts + i]
+            h ^= h >> np.uint64(29)
+            h = h * np.uint64(0xBF58476D1CE4E5B9)
+        numbers.append(((h >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int64))
+        owners.append(of)
+
+    for n in (2, 3):
+        pick = np.flatnonzero((place + n <= size[owner] + 2) & (size[owner] > 0))
+        add(n, pick, n, owner[pick])
+    for n in (1, 2, 3, 4):
+        long = np.flatnonzero(size >= n)
+        if n < 4:
+            add(10 + n, first[long] + 1, n, long)
+        add(20 + n, first[long] + 1 + size[long] - n, n, long)
+    extra = [(i, f) for i, w in enumerate(spelled) for f in lexicon.get(w, ())]
+    numbers.append(np.array([f for _, f in extra], dtype=np.int64))
+    owners.append(np.array([i for i, _ in extra], dtype=np.int64))
+    return np.concatenate(numbers), np.concatenate(owners)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -51,35 +85,39 @@ def words_of(text: str | None) -> list[str]:
 
 
 def emissions(words: list[str], model: Model) -> np.ndarray:
-    """Scores of each word for each label: the mean weight of its features, scaled; 0 for words without letters."""
-    feats = [features(w, model.lexicon) for w in words]
-    sizes = np.array([len(f) for f in feats])
-    out = np.zeros((len(words), len(model.labels)))
-    has = np.flatnonzero(sizes)
-    if len(has):
-        flat = np.concatenate([np.array(feats[i]) for i in has])
-        starts = np.concatenate([[0], np.cumsum(sizes[has])[:-1]])
-        out[has] = np.add.reduceat(model.weights[flat], starts, axis=0) / np.sqrt(sizes[has])[:, None]
-    return out
-
-
-def forward_backward(emit: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Posterior of each label at each place for chains (place, chain, label); mask is False past a chain's end."""
-    steps, chains, k = emit.shape
+    """Scores of each word for each label: its features' weights over the root of their number; 0 without letters."""
+    flat, owner = features(words, model.lexicon)
+    scale = 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=len(words)), 1))
+    return np.stack([np.bincount(owner, weights=model.weights[flat, y], minlength=len(words)) * scale
+                     for y in range(len(model.labels))], axis=1)
+
+
+def forward_backward(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Posterior of each label at each place for chains (place, chain, label), the longest chain first.
+
+    Values are scaled every few steps only: what a step can lose is bounded by the scores. Past a chain's end the
+    result has no meaning.
+    """
+    steps, chains, _ = emit.shape
     e = np.exp(emit - emit.max(axis=2, keepdims=True))
     a = np.exp(trans - trans.max())
-    fwd = np.empty_like(e)
-    f = e[0] / e[0].sum(axis=1, keepdims=True)
-    fwd[0] = f
+    active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # chains that reach beyond each place
+    fwd = np.ones_like(e)
+    fwd[0] = e[0]
     for t in range(1, steps):
-        f = (f @ a) * e[t]
-        f /= f.sum(axis=1, keepdims=True)
-        fwd[t] = f
-    b = np.ones((chains, k))
+        n = active[t]
+        f = fwd[t, :n]
+        np.matmul(fwd[t - 1, :n], a, out=f)
+        f *= e[t, :n]
+        if t % 4 == 0:
+            f /= f.sum(axis=1, keepdims=True)
+    b = np.ones((chains, e.shape[2]), dtype=e.dtype)
+    back = np.ascontiguousarray(a.T)
     for t in range(steps - 2, -1, -1):
-        nxt = (e[t + 1] * b) @ a.T
-        nxt /= nxt.sum(axis=1, keepdims=True)
-        b = np.where(mask[t + 1][:, None], nxt, 1.0)
+        n = active[t + 1]
+        b[:n] = (e[t + 1, :n] * b[:n]) @ back
+        if t % 4 == 0:
+            b[:n] /= b[:n].sum(axis=1, keepdims=True)
         fwd[t] *= b
     return fwd / fwd.sum(axis=2, keepdims=True)
 
@@ -93,7 +131,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 3) -> Model:
     docs = [(w, labels.index(y)) for t, y in texts if (w := words_of(t))]
     counts = [Counter() for _ in labels]
     for w, y in docs:
-        counts[y].update("".join(LETTERS.findall(x)) for x in w)
+        counts[y].update(map(letters_of, w))
     lexicon: dict[str, list[int]] = {}
     for y, c in enumerate(counts):
         for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
@@ -109,7 +147,6 @@ def fit(texts: list[tuple[str, str]], seed: int = 3) -> Model:
     by = [[w for w, y in docs if y == c] for c in range(k)]
     by = [b for b in by if b]
     names = sorted({y for _, y in docs})
-    known: dict[str, np.ndarray] = {}
     square_w, square_t = np.full_like(weights, 1e-3), np.full_like(trans, 1e-3)
     for _ in range(STEPS):
         words, gold = [], np.empty((CHAIN, CHAINS), dtype=int)
@@ -123,14 +160,8 @@ def fit(texts: list[tuple[str, str]], seed: int = 3) -> Model:
                 words.extend(doc[at:at + n])
                 gold[t:t + n, c] = names[y]
                 t += n
-        for w in words:
-            if w not in known:
-                known[w] = np.array(features(w, frozen), dtype=np.int64)
-        feats = [known[w] for w in words]
-        sizes = np.array([len(f) for f in feats])
-        flat = np.concatenate(feats)
-        row = np.repeat(np.arange(len(words)), sizes)
-        root = 1 / np.sqrt(np.maximum(sizes, 1))
+        flat, row = features(words, frozen)
+        root = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(words)), 1))
         emit = np.zeros((len(words), k))
         np.add.at(emit, row, weights[flat])
         emit = (emit * root[:, None]).reshape(CHAINS, CHAIN, k).transpose(1, 0, 2)
@@ -194,14 +225,14 @@ class Tagger:
         at = 0
         while at < len(order):
             longest = len(docs[order[at]])
-            part = order[at:at + max(1, min(256, (1 << 19) // longest))]
+            part = order[at:at + max(1, min(256, CELLS // longest))]
             at += len(part)
             emit = np.zeros((longest, len(part), k), dtype=np.float32)
-            mask = np.zeros((longest, len(part)), dtype=bool)
+            lengths = np.array([len(rows[i]) for i in part])
             for c, i in enumerate(part):
-                emit[:len(rows[i]), c] = self.scores[rows[i]]
-                mask[:len(rows[i]), c] = True
-            post = forward_backward(emit, self.model.transitions.astype(np.float32), mask)
+                emit[:lengths[c], c] = self.scores[rows[i]]
+            mask = np.arange(longest)[:, None] < lengths[None, :]
+            post = forward_backward(emit, self.model.transitions.astype(np.float32), lengths)
             lettered = mask & (emit != 0).any(axis=2)
             lettered |= mask & ~lettered.any(axis=0)  # words whose scores are all 0: count every word
             mass = (post * lettered[:, :, None]).sum(axis=0) / lettered.sum(axis=0)[:, None]
@@ -220,13 +251,16 @@ def predict(model: Model, text: Column) -> Column:
         for texts in batches:
             names, scores = [NONE] * len(texts), np.zeros(len(texts))
             lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-            for begin in range(0, len(lettered), 512):
-                part = lettered[begin:begin + 512]
-                if model.labels:
-                    mass = tagger.label_mass([texts.iloc[i] for i in part])
-                    for i, m in zip(part, mass, strict=True):
-                        names[i] = model.labels[int(m.argmax())]
-                        scores[i] = min(1.0, float(m.max()))
+            while lettered and model.labels:
+                n = held = 0
+                while n < len(lettered) and held < BATCH_CHARS:
+                    held += len(texts.iloc[lettered[n]])
+                    n += 1
+                part, lettered = lettered[:n], lettered[n:]
+                mass = tagger.label_mass([texts.iloc[i] for i in part])
+                for i, m in zip(part, mass, strict=True):
+                    names[i] = model.labels[int(m.argmax())]
+                    scores[i] = min(1.0, float(m.max()))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     return run(text)
