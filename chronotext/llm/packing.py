@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from chronotext.llm.common import Scratch
 from chronotext.llm.tokens import encoder, narrowest, pack
 
-GROUP_ROWS = 16_384
+GROUP_ROWS = 1024
 BATCH_BYTES = 16 << 20
 
 
@@ -244,7 +244,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     alone. Null and repeated keys and repeated rows are documents of their own. An empty table gives no rows. Other
     columns are not looked at.
 
-    The ids are stored once. Ranks come from windows over groups of about 16,000 rows of one length and sums over
+    The ids are stored once. Ranks come from windows over groups of about 1,000 rows of one length and sums over
     those groups, so a length that a third of the documents share is many groups.
     """
     scratch = Scratch(docs.sparkSession, "packing")
