@@ -19,9 +19,9 @@ LANGUAGES = 64        # the most frequent labels, at most
 LEXICON = 400         # frequent words per language that are features of their own
 BUCKETS = 1 << 16
 CHAIN, CHAINS, STEPS = 40, 64, 160
-REMEMBERED = 300_000
-CELLS = 1 << 20      # words of a batch of chains, with padding
-BATCH_CHARS = 24 << 20
+REMEMBERED = 200_000
+CELLS = 1 << 19      # words of a batch of chains, with padding
+BATCH_CHARS = 6 << 20
 NONE = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -212,7 +212,8 @@ class Tagger:
         new = list({w for d in docs for w in d if w not in self.index})
         if new:
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, emissions(new, self.model).astype(np.float32)])
+            parts = [emissions(new[i:i + 20_000], self.model).astype(np.float32) for i in range(0, len(new), 20_000)]
+            self.scores = np.concatenate([self.scores, *parts])
         return [np.fromiter(map(self.index.__getitem__, d), dtype=np.int64, count=len(d)) for d in docs]
 
     def label_mass(self, texts: list[str | None]) -> np.ndarray:
