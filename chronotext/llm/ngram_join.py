@@ -31,7 +31,7 @@ COMMON_KEPT = 1 << 20  # of them at most so many are sent to the tasks, the most
 VERIFY_COST = 4        # a scanned entry against an enumerated subset
 LIGHT_MAX = 18
 SHORT_LIST = 48
-BLOCK = 256
+BLOCK = 512
 ROUNDS = 3
 SEND_IDS = 2_000_000   # ids broadcast at most; more are joined by a shuffle
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -222,15 +222,16 @@ def forest(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     left, right = rows["left"].to_numpy(), rows["right"].to_numpy()
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    # shingles of one set alone can't overlap
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    met = times[code] > 1
+    codes, owner = (np.cumsum(times > 1) - 1)[code[met]], owner[met]
+    width = int((times > 1).sum())
     both = np.zeros((len(sets), len(sets)), dtype=np.int32)
     step = max(1, (1 << 22) // len(sets))
-    codes = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
-    for at in range(0, len(starts), step):  # overlaps by products of bounded pieces of the incidence matrix
+    for at in range(0, width, step):  # overlaps by products of bounded pieces of the incidence matrix
         inside = (codes >= at) & (codes < at + step)
-        part = np.zeros((len(sets), min(step, len(starts) - at)), dtype=np.float32)
+        part = np.zeros((len(sets), min(step, width - at)), dtype=np.float32)
         part[owner[inside], codes[inside] - at] = 1
         both += (part @ part.T).astype(np.int32)
     hit = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (comp[:, None] != comp[None, :])
@@ -344,11 +345,21 @@ def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _long_links(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components in long open lists, compared in cells of two blocks of about BLOCK sets."""
-    cut = many.withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn(
-        "own", F.pmod(F.xxhash64("node", "token"), F.col("blocks")))
-    cell = cut.select("token", "node", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col(
-        "blocks") - 1)).alias("with"))
+    """Links across components in long open lists, compared in cells of two blocks of about BLOCK sets.
+
+    Most members of a list are in one component already. They meet the others, but not one another.
+    """
+    largest = many.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(
+        F.max(F.struct("size", "comp")).alias("main")).select(
+        "token", F.col("main.comp").alias("main"), F.ceil(F.col("main.size") / BLOCK).alias("mains"),
+        F.col("main.size").alias("size"))
+    cut = many.join(largest, "token").withColumn("others", F.ceil((F.col("k") - F.col("size")) / BLOCK))
+    inside = F.col("comp") == F.col("main")
+    h = F.xxhash64("node", "token")
+    cut = cut.withColumn("own", F.when(inside, F.col("others") + F.pmod(h, F.col("mains"))).otherwise(
+        F.pmod(h, F.col("others"))))
+    last = F.col("others") + F.when(inside, 0).otherwise(F.col("mains")) - 1
+    cell = cut.select("token", "node", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("with"))
     cell = cell.select("token", "node", "comp", F.least("own", "with").alias("i"), F.greatest("own", "with").alias(
         "j"), (F.col("own") <= F.col("with")).alias("left"), (F.col("own") >= F.col("with")).alias("right"))
     return cell.join(sets.select("node", "items"), "node").groupBy("token", "i", "j").applyInPandas(
