@@ -107,7 +107,8 @@ def lists_of(parts: list[np.ndarray]) -> pa.Array:
 
 
 def texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"),
+                       F.xxhash64(F.col(text).cast("string")).alias("mark"))
 
 
 def base_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -118,10 +119,10 @@ def base_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) for s in sets], pa.int64()),
-                lists_of([s[:prefix_length(len(s), percent)] for s in sets])],
-                names=["doc", "n", "node", "sample"])
+                lists_of([s[:prefix_length(len(s), percent)] for s in sets]), batch.column(2)],
+                names=["doc", "n", "node", "sample", "mark"])
 
-    return docs.mapInArrow(run, "doc long, n long, node long, sample array<long>")
+    return docs.mapInArrow(run, "doc long, n long, node long, sample array<long>, mark long")
 
 
 def signatures(docs: DataFrame, common, width: int, percent: int, light: int) -> DataFrame:
@@ -262,6 +263,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, key: str
     table gives no rows. Other columns are not looked at. No link is lost: all steps before the exact check are
     lossless filters, and the order of shingles and the constants above change cost only.
     """
+    return _grouped(docs, width, percent, key, text).select(
+        F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """(doc, n, component_id, mark) per row; mark is a hash of the text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = texts(docs, key, text)
@@ -327,12 +334,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, key: str
                 sets = fetch(many.select("node"))
                 links = links.unionByName(_long_links(many, sets, percent))
         parts = merged(scratch.write(links, "links"))
-    named = base.where("n > 0").select("doc", "n", "node").join(parts, "node", "left").withColumn(
+    named = base.where("n > 0").select("doc", "n", "node", "mark").join(parts, "node", "left").withColumn(
         "comp", F.coalesce("root", "node"))
     least = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    whole = named.join(least, "comp").select("doc", "n", "component_id").unionByName(
-        base.where("n = 0").select("doc", "n", F.col("doc").alias("component_id")))
-    return whole.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    whole = named.join(least, "comp").select("doc", "n", "component_id", "mark")
+    return whole.unionByName(base.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"), "mark"))
 
 
 def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -370,15 +376,16 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
     """The documents of ``docs`` that name their component, one row each; all columns stay.
 
     Rows without words link with nothing and stay. Of rows with equal key and text one stays; rows that share a key
-    but not the text stay or go together, and stay if one of them names its component. Rows with a null key stay only
-    where their component has no other key, one of each text.
+    but not the text are judged one by one. Rows with a null key stay only where their component has no other key,
+    one of each text.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    groups = scratch.write(near_duplicates(docs, width, percent, key, text), "groups")
-    kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_kept")).agg(
-        F.count(F.lit(1)).alias("_rows"))
+    groups = scratch.write(_grouped(docs, width, percent, key, text), "groups")
+    kept = groups.where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy(
+        F.col("doc").alias("_kept"), F.col("mark").alias("_mark")).agg(F.count(F.lit(1)).alias("_rows"))
     kept = scratch.write(kept, "kept")
-    out = docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    out = docs.join(kept, docs[key].eqNullSafe(kept["_kept"]) & (
+        F.xxhash64(docs[text].cast("string")) == kept["_mark"]), "left_semi")
     # only repeated keys can hold repeated rows, and only then the texts are compared
     return out if kept.where("_rows > 1").isEmpty() else out.dropDuplicates([key, text])
 
