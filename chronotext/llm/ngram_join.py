@@ -1,7 +1,9 @@
 """Size-aware heavy-light join of word n-gram sets by Jaccard similarity, and its connected components.
 
-Light sets (few shingles) enumerate subsets: two sets share a subset of c elements if and only if they overlap in c,
-so equal subsets are links and nothing has to be verified. Heavy sets scan inverted lists. Of each set only its first
+Light sets (few shingles) enumerate subsets: two sets share a subset of c elements if and only if they overlap in c.
+A set emits the sizes c that any partner may need, so an equal subset is a link only where c is enough for the sizes
+of the two; then nothing else has to be verified. What is enough for two members of a group is also enough for each
+of them with its smallest member, so links to the smallest member lose none. Heavy sets scan inverted lists. Of each set only its first
 shingles in one global order stand in the lists, as many as the threshold requires, and shingles that many documents
 hold come last in that order. The size between light and heavy is where enumerating starts to cost more than scanning.
 
@@ -285,12 +287,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str) ->
     met = entry.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     lists = scratch.write(entry.join(met, "token").distinct(), "lists")
     heads = scratch.write(lists.groupBy("node", "n").agg(F.collect_list("token").alias("tokens")), "heads")
-    subset = marks.where("kind > 0")
-    star = subset.groupBy("kind", "token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(
-        "low <> high")
-    parts = components(subset.join(star, ["kind", "token"]).select(
-        F.col("node").alias("a"), F.col("low").alias("b")), scratch)
-    parts = scratch.write(parts, "parts")
+    parts = scratch.write(components(_subset_links(marks.where("kind > 0"), percent, scratch), scratch), "parts")
     tried = scratch.write(spark.createDataFrame([], "a long, b long"), "pairs")
     sets = scratch.write(spark.createDataFrame([], "node long, n long, items binary"), "sets")
 
@@ -341,6 +338,17 @@ def _grouped(docs: DataFrame, width: int, percent: int, key: str, text: str) ->
     return whole.unionByName(base.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"), "mark"))
 
 
+def _subset_links(subset: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of light sets to the smallest set that holds the same subset, where its size is enough for both."""
+    several = subset.groupBy("kind", "token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where(
+        "x <> y").select("kind", "token")
+    shared = scratch.write(subset.join(several, ["kind", "token"]), "shared")
+    least = shared.groupBy("kind", "token").agg(F.min(F.struct("n", "node")).alias("least"))
+    return shared.join(least, ["kind", "token"]).where(
+        100 * F.col("kind") >= percent * (F.col("n") + F.col("least.n") - F.col("kind"))).select(
+        F.col("node").alias("a"), F.col("least.node").alias("b"))
+
+
 def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs across components in short open lists: at most SHORT_LIST partners per entry."""
     short = rows.where(F.col("k") <= SHORT_LIST)

@@ -350,6 +350,25 @@ def test_ngram_join(spark, monkeypatch, setup):
     assert collections.Counter(map(tuple, got)) == brute_groups(rows, width, percent)
 
 
+def test_light_sets_with_too_small_an_overlap(spark):
+    """Ten words and another last word: 6 of 8 shingles. Such texts link only through a common base of nine words."""
+    rng = np.random.default_rng(12)
+    for width, percent in ((4, 85), (5, 80)):
+        rows = []
+        for n in range(width + 1, 20):
+            base = [f"x{v}" for v in rng.integers(0, 10 ** 9, n)]
+            for text in (base[:-1] + ["one"], base[:-1] + ["two"], base[:-2] + ["three"], ["four"] + base[1:]):
+                rows.append((len(rows), " ".join(text)))
+            if n % 3 == 0:
+                rows.append((len(rows), " ".join(base[:-1])))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert collections.Counter(map(tuple, ngram_join.near_duplicates(df, width, percent).collect())) == (
+            brute_groups(rows, width, percent))
+    two = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k")]
+    df = spark.createDataFrame(two, "doc_id long, text string")
+    assert {tuple(r) for r in ngram_join.near_duplicates(df).collect()} == {(1, 7, 1), (2, 7, 2)}
+
+
 def test_ngram_join_keeps_one(spark, none):
     rows = near_rows(9)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
