@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DICTIONARY_BYTES = 110_000
+DICTIONARY_BYTES = 4_000_000  # per class: whole texts, unless they have more than 6,666 bytes on average
+TEXT_BYTES = 110_000          # of one text, from all places of it
+PIECE = 160             # bytes of a text that enter a dictionary together
 DICTIONARY_DOCS = 600   # per class, at most
 CALIBRATION_DOCS = 3000  # per class, at most
 LEVEL = 9
@@ -72,11 +76,20 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60)
     return float(w[0] / scale), float(w[1])
 
 
-def dictionary(texts: list[str]) -> bytes:
-    """Equal shares of the texts, one after the other; shares grow where there are few texts."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts if t]
-    share = max(160, DICTIONARY_BYTES // max(len(raw), 1))
-    return b"\n".join(r[:share] for r in raw)[:DICTIONARY_BYTES]
+def pieces(text: str | None) -> list[bytes]:
+    """The whole text in pieces, in the order of a hash, so that the first ones come from any place of it.
+
+    Of a text longer than TEXT_BYTES so much is returned.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    cut = [raw[i:i + PIECE] for i in range(0, len(raw), PIECE)]
+    order = sorted(range(len(cut)), key=lambda i: xxhash.xxh3_64_intdigest(cut[i], seed=i))
+    return [cut[i] for i in order[:-(-TEXT_BYTES // PIECE)]]
+
+
+def dictionary(texts: list[list[bytes]]) -> bytes:
+    """One piece of each text in turn, then a second of each, and so on: shares grow where texts are few or short."""
+    return b"\n".join(p for turn in zip_longest(*texts) for p in turn if p)[:DICTIONARY_BYTES]
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
@@ -84,7 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     The labelled rows are halved by a hash of the key: one half gives the dictionaries, the other, which they have
     not seen, the curve. Of each half and class the rows with the smallest hashes are taken, up to DICTIONARY_DOCS and
-    CALIBRATION_DOCS, so the driver holds a fixed number of texts. Null keys and labels are ignored. Without any
+    CALIBRATION_DOCS. A dictionary has up to DICTIONARY_BYTES, in pieces drawn from all places of its texts, and the
+    driver holds up to TEXT_BYTES of each text. Null keys and labels are ignored. Without any
     label the curve is flat and every score is 0.5; where only one class occurs, scores lean to it.
     """
     h = F.xxhash64(F.lit(5), F.col(key))
@@ -100,9 +114,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = picked[0]
     for p in picked[1:]:
         sample = sample.unionByName(p)
+    cut = F.udf(pieces, "array<binary>")
     # at most 2 * (DICTIONARY_DOCS + CALIBRATION_DOCS) keys
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")
-    seeds = rows.where("first").select("y", "h", "k", F.substring("t", 1, DICTIONARY_BYTES).alias("t")).toPandas()
+    seeds = rows.where("first").select("y", "h", "k", cut(F.col("t")).alias("t")).toPandas()
     seeds = seeds.sort_values(["h", "k"])
     model = Model(*[dictionary(list(seeds["t"][seeds["y"] == y])) for y in (1, 0)])
     seen = rows.where(~F.col("first")).select("y", differences(model, F.col("t")).alias("x")).toPandas()

@@ -484,6 +484,21 @@ def test_compression(spark, docs, none):
     assert none.select(compression.score(model, F.col("text"))).count() == 0
 
 
+def test_compression_learns_from_whole_texts(spark, monkeypatch):
+    """Bad texts that begin with clean prose, which alone fills their share of the dictionary."""
+    monkeypatch.setattr(compression, "DICTIONARY_BYTES", 8000)
+    rng = random.Random(9)
+    bad = [" ".join(f"{rng.choice('qxz')}{rng.randrange(10 ** 6)}" for _ in range(6)) for _ in range(10)]
+    rows = [(i, words(rng, 60) + " " + (words(rng, 120) if i % 2 else " ".join(rng.choices(bad, k=20))))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i, _ in rows if i < 300], "doc_id long, quality int")
+    model = compression.train(df, lab)
+    assert any(b.encode() in model.bad for b in bad) and len(model.bad) <= 8000
+    scores = df.where("doc_id >= 300").select("doc_id", compression.score(model, F.col("text"))).collect()
+    assert sum((s >= 0.5) == bool(i % 2) for i, s in scores) >= 0.9 * len(scores)
+
+
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(0)
     k, n = 3, 7
