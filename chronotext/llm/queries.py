@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import bpe, compression, language, line_dedup, ngram_join, packing, rules, sharding, token_files, vectors
+from chronotext.llm import bpe, compression, language, line_dedup, merkle, ngram_join, packing, rules, sharding
+from chronotext.llm import token_files, url_rules, vectors
 from chronotext.llm.tokens import default_path
 from chronotext.registry.base import Registry, table
 
@@ -85,5 +86,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@R.add("op11_merkle", merkle.SQL)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    given = F.when(even & F.col("text").contains("\n"), merkle.leaf(*fields, F.replace("text", F.lit("\n"), F.lit(""))))
+    digests = docs.select("doc_id", "source", merkle.leaf(*fields, F.col("text")).alias("leaf"), given.alias("given"))
+    out = merkle.manifest(digests, "source", ["doc_id"], "leaf")
+    folded = merkle.fold(F.coalesce("given", "leaf"), F.col("path"))
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@R.add("op13_url_filters", url_rules.SQL)
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge_urls(pages, url_rules.default_rules(spark)).drop("url")
+
+
 QUERIES = R.queries
 ORACLE_SQL = R.sql
