@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import bpe, compression, language, line_dedup, merkle, ngram_join, packing, rules, sharding
-from chronotext.llm import token_files, url_rules, vectors
+from chronotext.llm import bpe, compression, language, line_dedup, merkle, ngram_join, packing, phrases
+from chronotext.llm import rules, sharding, token_files, url_rules, vectors
 from chronotext.llm.tokens import default_path
 from chronotext.registry.base import Registry, table
 
@@ -100,6 +100,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@R.add("op12_phrases", phrases.SQL)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @R.add("op13_url_filters", url_rules.SQL)
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
