@@ -17,12 +17,12 @@ def test_query(spark, sf_dir, name):
     if name in ORACLE_SQL:
         assert compare(df, connect(sf_dir), ORACLE_SQL[name]) == ""
     else:
-        of = "embeddings" if name.startswith("op4") else "documents"
+        of = "embeddings" if name.startswith("op4_") else "documents"
         assert df.count() >= table(spark, sf_dir, of).count()
 
 
 def test_one_query_per_operator():
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, sf_dir):
