@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,40 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let whole texts reach Python some thousand at a time: a session setting, which is lowered only."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(setting, ARROW_ROWS)
+
+
+def tidy(run: Callable, *caches: Callable) -> Callable:
+    """``run`` over the batches of a task; then the caches are emptied and free memory goes back to the system.
+
+    Workers are used again by later tasks, and what each keeps would add up beside the executor's own memory.
+    """
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache.cache_clear()
+            gc.collect()
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return task
+
+
 class Scratch:
     """Tables of one run below the shared folder; those that a later one replaces can be dropped."""
 

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import Scratch
+from chronotext.llm.common import Scratch, small_batches, tidy
 
 LONGEST, LEAST, KEPT = 5, 100, 2000
 BITMAP_BITS = 1 << 26
 CHUNK_BYTES = 1 << 20
-COMBINED, SLICE = 1 << 19, 1 << 18
+COMBINED, SLICE = 1 << 18, 1 << 17
 # fixed values: what parts pieces and words
 PIECE_ENDS, WORD_ENDS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 # inside keys a tab stands between words, so no byte of a word may sort before it; ESCAPE is no byte of a word either
@@ -206,7 +206,7 @@ def counted(docs: DataFrame, lengths: range, bitmap=None) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"lang": list(totals), "phrase": pa.nulls(len(totals), pa.string()),
                                               "f": pa.array(list(totals.values()), pa.int64())})
 
-    return docs.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return docs.mapInArrow(tidy(count), COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def marked(phrases: DataFrame) -> bytes:
@@ -323,6 +323,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
         raise ValueError("least must be positive")
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
+    small_batches(spark)
     docs = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
     def pass_over(lengths: range, parts: DataFrame | None = None) -> DataFrame:
