@@ -56,18 +56,23 @@ def tidy(run: Callable, *caches: Callable) -> Callable:
         finally:
             for cache in caches:
                 cache.cache_clear()
-            gc.collect()
-            import pyarrow as pa
-
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            give_back()
 
     return task
 
 
+def give_back() -> None:
+    """Return memory that is free inside this process to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class Scratch:
     """Tables of one run below the shared folder; those that a later one replaces can be dropped."""
 

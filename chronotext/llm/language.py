@@ -5,23 +5,23 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import fresh
+from chronotext.llm.common import fresh, give_back, small_batches
 
 SAMPLE_DOCS = 300     # documents per language that the model is fitted on, at most
-LANGUAGES = 64        # the most frequent labels, at most
+TOTAL_DOCS = 24_000   # documents it is fitted on, at most: of more than 80 languages each has an equal share
 LEXICON = 400         # frequent words per language that are features of their own
 BUCKETS = 1 << 16
 CHAIN, CHAINS, STEPS = 40, 64, 160
-REMEMBERED = 200_000
-CELLS = 1 << 19      # words of a batch of chains, with padding
-BATCH_CHARS = 6 << 20
+REMEMBERED = 50_000
+CELLS = 1 << 20      # words times labels of a batch of chains, with padding
+BATCH_CHARS = 2 << 20
 NONE = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -212,21 +212,24 @@ class Tagger:
         new = list({w for d in docs for w in d if w not in self.index})
         if new:
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            parts = [emissions(new[i:i + 20_000], self.model).astype(np.float32) for i in range(0, len(new), 20_000)]
+            parts = [emissions(new[i:i + 5_000], self.model).astype(np.float32) for i in range(0, len(new), 5_000)]
             self.scores = np.concatenate([self.scores, *parts])
         return [np.fromiter(map(self.index.__getitem__, d), dtype=np.int64, count=len(d)) for d in docs]
 
-    def label_mass(self, texts: list[str | None]) -> np.ndarray:
-        """Per text the mean posterior of each label over its words with letters; rows of 0 where it has none."""
+    def label_mass(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text, over its words with letters, the mean posterior of each label and the mean of the largest one.
+
+        Both are 0 where it has no words.
+        """
         k = len(self.model.labels)
-        out = np.zeros((len(texts), k))
+        out, sure = np.zeros((len(texts), k)), np.zeros(len(texts))
         docs = [words_of(t) for t in texts]
         rows = self.rows(docs)
         order = sorted((i for i in range(len(docs)) if docs[i]), key=lambda i: -len(docs[i]))
         at = 0
         while at < len(order):
             longest = len(docs[order[at]])
-            part = order[at:at + max(1, min(256, CELLS // longest))]
+            part = order[at:at + max(1, min(256, CELLS // (longest * k)))]
             at += len(part)
             emit = np.zeros((longest, len(part), k), dtype=np.float32)
             lengths = np.array([len(rows[i]) for i in part])
@@ -238,19 +241,23 @@ class Tagger:
             lettered |= mask & ~lettered.any(axis=0)  # words whose scores are all 0: count every word
             mass = (post * lettered[:, :, None]).sum(axis=0) / lettered.sum(axis=0)[:, None]
             out[part] = mass
-        return out
+            sure[part] = np.where(lettered, post.max(axis=2), 0).sum(axis=0) / lettered.sum(axis=0)
+        return out, sure
 
 
 def predict(model: Model, text: Column) -> Column:
-    """Struct (lang_pred, score) of a text: the label with the largest mean posterior over its words, and that mean.
+    """Struct (lang_pred, score, confidence) of a text: the label with the largest mean posterior over its words, that
+    mean, and the mean over the words of each one's own largest posterior, which is high in mixed texts as well.
 
-    ``und`` with score 0 for null texts and texts without a letter, and where no label was learned.
+    ``und`` with score and confidence 0 for null texts and texts without a letter, and where no label was learned.
     """
-    @F.pandas_udf("lang_pred string, score double")
+    model = replace(model, weights=model.weights.astype(np.float32))
+
+    @F.pandas_udf("lang_pred string, score double, confidence double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tagger = Tagger(model)
         for texts in batches:
-            names, scores = [NONE] * len(texts), np.zeros(len(texts))
+            names, scores, sure = [NONE] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
             while lettered and model.labels:
                 n = held = 0
@@ -258,39 +265,46 @@ def predict(model: Model, text: Column) -> Column:
                     held += len(texts.iloc[lettered[n]])
                     n += 1
                 part, lettered = lettered[:n], lettered[n:]
-                mass = tagger.label_mass([texts.iloc[i] for i in part])
-                for i, m in zip(part, mass, strict=True):
+                for i, m, c in zip(part, *tagger.label_mass([texts.iloc[i] for i in part]), strict=True):
                     names[i] = model.labels[int(m.argmax())]
-                    scores[i] = min(1.0, float(m.max()))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+                    scores[i], sure[i] = min(1.0, float(m.max())), min(1.0, float(c))
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "confidence": sure})
+        del tagger
+        give_back()
 
     return run(text)
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit from labelled documents: of each of the most frequent labels those with the smallest hashes of the key.
+    """Fit from labelled documents: of each label those with the smallest hashes of the key.
 
-    Bounded by LANGUAGES * SAMPLE_DOCS documents, which the driver holds. Null labels, keys and texts are ignored;
-    one label alone, or none, gives a model without preferences.
+    Every label that occurs is learned, from SAMPLE_DOCS documents, or from an equal share of TOTAL_DOCS where there
+    are many labels; the driver holds no more, and more labels than TOTAL_DOCS are refused. Null labels, keys and texts
+    are ignored; one label alone, or none, gives a model without preferences.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
-    top = usable.groupBy(F.col(lang).alias("y")).count().orderBy(F.desc("count"), "y").limit(LANGUAGES).collect()
-    h = F.xxhash64(F.lit(3), F.col(key))
-    sample = None
-    for r in top:
-        part = usable.where(F.col(lang) == r["y"]).select(F.col(key).alias("k"), h.alias("h"), F.lit(r["y"]).alias(
-            "y")).orderBy("h", "k").limit(SAMPLE_DOCS)
-        sample = part if sample is None else sample.unionByName(part)
-    if sample is None:
+    labels = usable.select(lang).distinct().limit(TOTAL_DOCS + 1).count()
+    if not labels:
         return fit([])
+    if labels > TOTAL_DOCS:
+        raise ValueError(f"more than {TOTAL_DOCS} labels")
+    h = F.xxhash64(F.lit(3), F.col(key))
+    first = Window.partitionBy("y").orderBy("h", "k")
+    sample = usable.select(F.col(key).alias("k"), h.alias("h"), F.col(lang).alias("y")).withColumn(
+        "place", F.row_number().over(first)).where(F.col("place") <= min(SAMPLE_DOCS, TOTAL_DOCS // labels)).drop("place")
     rows = usable.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("y")).join(
         F.broadcast(sample.dropDuplicates(["k", "y"])), ["k", "y"]).toPandas()
     rows = rows.sort_values(["h", "k", "y", "t"])
     return fit(list(zip(rows["t"], rows["y"], strict=True)))
 
 
-def tag(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of the documents with lang_pred and score, under free names where they clash; nothing shuffles."""
-    held, name, score = fresh(docs.columns, "_tag", "lang_pred", "score")
+def tag(docs: DataFrame, model: Model, text: str = "text", confidence: bool = False) -> DataFrame:
+    """All columns of the documents with lang_pred and score, and confidence if asked for; nothing shuffles.
+
+    New columns get free names where they clash.
+    """
+    small_batches(docs.sparkSession)
+    made = ["lang_pred", "score", *(["confidence"] if confidence else [])]
+    held, *names = fresh(docs.columns, "_tag", *made)
     return docs.withColumn(held, predict(model, F.col(text))).select(
-        *docs.columns, F.col(f"{held}.lang_pred").alias(name), F.col(f"{held}.score").alias(score))
+        *docs.columns, *[F.col(f"{held}.{c}").alias(n) for c, n in zip(made, names, strict=True)])

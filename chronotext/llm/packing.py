@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import Scratch
+from chronotext.llm.common import Scratch, small_batches, tidy
 from chronotext.llm.tokens import encoder, narrowest, pack
 
 GROUP_ROWS = 1024
@@ -141,9 +141,10 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, code: str, key: st
             [rows[:len(out)], keys[:len(out)], pa.array([len(b) // width for b in out], pa.int64()),
              pa.array(out, pa.binary())], names=["row", "key", "n", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"),
-        F.col(text).alias("text")).mapInArrow(run, "row long, key long, n long, ids binary")
+        F.col(text).alias("text")).mapInArrow(tidy(run, encoder), "row long, key long, n long, ids binary")
 
 
 def place(lengths: DataFrame, window: int, scratch: Scratch) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import fresh
+from chronotext.llm.common import fresh, give_back, small_batches
 
 SAMPLE_DOCS = 4000      # labelled documents per class that the rules are learned from, at most
 MIN_WORDS = 50
@@ -54,6 +54,7 @@ def stats_column(text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([statistics(t) for t in texts], columns=STATS, dtype="int64")
+        give_back()
 
     return run(text)
 
@@ -193,6 +194,7 @@ def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     lie in repeated three-word windows. Nothing is shuffled; rows are judged one by one, so repeated rows, null keys
     and an empty table need no rule of their own.
     """
+    small_batches(docs.sparkSession)
     held, *names = fresh(docs.columns, "_stats", *STATS, "base_failed", "kept")
     with_stats = docs.withColumn(held, stats_column(F.col(text)))
 

@@ -9,7 +9,8 @@ import sys
 from array import array
 from functools import lru_cache
 
-REMEMBERED = 500_000
+REMEMBERED_BYTES = 32 << 20  # of words and their ids, with what Python needs to hold them
+ENTRY_BYTES = 160
 # fixed value: how the byte-level pre-tokenizer cuts a text
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -60,10 +61,11 @@ class TextEncoder:
     With the byte-level pre-tokenizer a single blank or newline between two characters that are no white space
     always ends a pre-token, whatever stands around it. So a text is cut there, each distinct word is encoded once,
     and the ids are joined. A word of plain letters is merged by tiktoken from the merges of the same file, any other
-    by the library itself. Texts with other white space, and tokenizers of another kind, are encoded whole by it. The memory holds a fixed number of words and is emptied when full.
+    by the library itself. Texts with other white space, and tokenizers of another kind, are encoded whole by it. The
+    memory of words is bounded in bytes and emptied when full.
     """
 
-    def __init__(self, path: str, code: str = "I", remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str, code: str = "I", remembered: int = REMEMBERED_BYTES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread: Spark fills the cores
         from tokenizers import Tokenizer
 
@@ -83,7 +85,8 @@ class TextEncoder:
         self.merges = plain_merges(spec) if self.by_word else None
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
-        self.newline, self.remembered = pack(self.tokenizer.encode("\n", add_special_tokens=False).ids, code), remembered
+        self.newline = pack(self.tokenizer.encode("\n", add_special_tokens=False).ids, code)
+        self.remembered, self.held = remembered, 0
 
     def learn(self, words: list[str], known: dict[str, bytes | None], lead: str) -> None:
         """Add the unknown words; None marks one that can't stand alone, for want of a safe edge."""
@@ -96,13 +99,15 @@ class TextEncoder:
                     known[w] = pack(self.tokenizer.encode(lead + w, add_special_tokens=False).ids, code)
                 else:
                     known[w] = None
+                self.held += ENTRY_BYTES + 2 * len(w) + len(known[w] or b"")
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
         if self.by_word and text:
-            if len(self.first) + len(self.later) > self.remembered:
+            if self.held > self.remembered:
                 self.first.clear()
                 self.later.clear()
+                self.held = 0
             lines = [line.split(" ") for line in text.split("\n")]
             heads = [line.pop(0) for line in lines]
             for retry in (False, True):
@@ -121,7 +126,7 @@ class TextEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, code: str = "I") -> TextEncoder:
-    """One encoder per worker and file; its memory serves all tasks of the worker."""
+    """One encoder per task and file: see ``tidy``."""
     return TextEncoder(path, code)
 
 
