@@ -14,7 +14,7 @@ from chronotext.llm.common import Scratch
 from chronotext.llm.tokens import default_path
 from chronotext.registry.base import table
 
-MIN_LANGUAGE_SCORE = 0.3
+MIN_CONFIDENCE = 0.3
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +28,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter or without a language that the words agree on at all.
+    """Drop documents without a letter (null and empty ones too) and those whose words show no language at all.
 
-    The field is fitted on the labelled documents themselves; the label of a document is no input of its prediction.
+    A word's confidence is its largest posterior, so a text that switches between languages stays. The field is fitted
+    on the labelled documents themselves; the label of a document is no input of its prediction. Where no document has
+    a label, all with a letter stay. Rows are judged one by one, so null ids and repeated rows are like others.
     """
-    tagged = language.tag(docs, language.train(docs))
-    lang, score = tagged.columns[-2:]
-    return tagged.where((F.col(lang) != language.NONE) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    model = language.train(docs)
+    if not model.labels:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    tagged = language.tag(docs, model, confidence=True)
+    lang, confidence = tagged.columns[-3], tagged.columns[-1]
+    return tagged.where((F.col(lang) != language.NONE) & (F.col(confidence) >= MIN_CONFIDENCE)).select(*docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
