@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,7 +84,7 @@ def token_bucket(events: DataFrame, client: str, at_us: str, seq: str, per_minut
 
     After a quiet time of burst / rate the bucket is full again whatever came before, so a client's log is cut
     there and the runs are independent. A task streams through its sorted runs and keeps one number per run.
-    Adds allowed and remaining_or_retry.
+    Adds allowed and remaining_or_retry. Clients may be of any type; all rows with a null client share one bucket.
     """
     rate = per_minute / 60.0
     cols = events.columns
@@ -95,25 +95,26 @@ def token_bucket(events: DataFrame, client: str, at_us: str, seq: str, per_minut
         runs = events.withColumn("run", F.lit(0).cast("bigint"))
     schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType()),
                            T.StructField("remaining_or_retry", T.LongType())])
-    where_client, where_at = cols.index(client), cols.index(at_us)
+    where_client, where_at, names = cols.index(client), cols.index(at_us), schema.names
 
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for pdf in batches:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = (), None  # no client yet; a null client is one as well
+        for batch in batches:
             ok, left = [], []
-            clients, times = pdf.iloc[:, where_client].to_numpy(), pdf.iloc[:, where_at].to_numpy()
-            for c, run, at in zip(clients, pdf["run"].to_numpy(), times, strict=True):
+            *given, runs = batch.columns
+            clients, times = given[where_client].to_pylist(), given[where_at].to_pylist()
+            for c, run, at in zip(clients, runs.to_pylist(), times, strict=True):
                 if (c, run) != key:
                     key, state = (c, run), None
-                tokens, allowed, rest = take_token(state, int(at), rate, burst)
-                state = (tokens, int(at))
+                tokens, allowed, rest = take_token(state, at, rate, burst)
+                state = (tokens, at)
                 ok.append(allowed)
                 left.append(rest)
-            yield pdf[cols].assign(allowed=ok, remaining_or_retry=left)
+            yield pa.RecordBatch.from_arrays([*given, pa.array(ok, pa.bool_()), pa.array(left, pa.int64())], names=names)
 
     return (
         runs.select(*cols, "run").repartition(client, "run").sortWithinPartitions(client, "run", at_us, seq)
-        .mapInPandas(stream, schema)
+        .mapInArrow(stream, schema)
     )
 
 

@@ -227,6 +227,19 @@ def token_bucket(spark, sf):
         "event_id", "allowed", "remaining_or_retry")
 
 
+_ANY_CLIENT_SQL = _BUCKET_SQL.replace(
+    "from events)", "from (select event_id, ts, case when user_id % 50 <> 0 then user_id + 9007199254740992 end as user_id"
+    " from events))").replace("r.user_id = b.user_id", "r.user_id is not distinct from b.user_id")
+
+
+@R.add("token_bucket_any_client", _ANY_CLIENT_SQL)
+def token_bucket_any_client(spark, sf):
+    """Requests without a client id, and ids beyond the integers that a double holds."""
+    wide = F.when(F.col("user_id") % 50 != 0, F.col("user_id") + F.lit(1 << 53))
+    return activity.token_bucket(_requests(spark, sf).withColumn("user_id", wide), "user_id", "at_us", "event_id",
+                                 PER_MINUTE, BURST).select("event_id", "allowed", "remaining_or_retry")
+
+
 @R.add("retry_queue", """
 with e as (select user_id, row_number() over (order by ts, event_id) as place, event_type = 'error' as failed from events),
 s as (select user_id, max(place) filter (where not failed) as ok, count(*) filter (where failed) as failures,
