@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.llm.common import Scratch, components
@@ -33,7 +33,8 @@ COMMON_KEPT = 1 << 20  # of them at most so many are sent to the tasks, the most
 VERIFY_COST = 4        # a scanned entry against an enumerated subset
 LIGHT_MAX = 18
 SHORT_LIST = 48
-BLOCK = 512
+BLOCK, BLOCK_ITEMS = 2048, 1 << 20  # sets of a long list, and shingles, that a task compares with as many, about
+TILE = 512
 ROUNDS = 3
 SEND_IDS = 2_000_000   # ids broadcast at most; more are joined by a shuffle
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -230,15 +231,6 @@ def forest(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     met = times[code] > 1
     codes, owner = (np.cumsum(times > 1) - 1)[code[met]], owner[met]
     width = int((times > 1).sum())
-    both = np.zeros((len(sets), len(sets)), dtype=np.int32)
-    step = max(1, (1 << 22) // len(sets))
-    for at in range(0, width, step):  # overlaps by products of bounded pieces of the incidence matrix
-        inside = (codes >= at) & (codes < at + step)
-        part = np.zeros((len(sets), min(step, width - at)), dtype=np.float32)
-        part[owner[inside], codes[inside] - at] = 1
-        both += (part @ part.T).astype(np.int32)
-    hit = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (comp[:, None] != comp[None, :])
-    hit &= left[:, None] & right[None, :]
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -247,11 +239,22 @@ def forest(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         return x
 
     out = []
-    for i, j in zip(*np.nonzero(hit), strict=True):
-        a, b = find(int(comp[i])), find(int(comp[j]))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((int(nodes[i]), int(nodes[j])))
+    step = max(1, (1 << 22) // len(sets))
+    rows_left = np.flatnonzero(left)
+    for tile in (rows_left[i:i + TILE] for i in range(0, len(rows_left), TILE)):
+        both = np.zeros((len(tile), len(sets)), dtype=np.float32)
+        for at in range(0, width, step):  # overlaps by products of bounded pieces of the incidence matrix
+            inside = (codes >= at) & (codes < at + step)
+            part = np.zeros((len(sets), min(step, width - at)), dtype=np.float32)
+            part[owner[inside], codes[inside] - at] = 1
+            both += part[tile] @ part.T
+        hit = 100 * both >= percent * (sizes[tile, None] + sizes[None, :] - both)
+        hit &= (comp[tile, None] != comp[None, :]) & right[None, :]
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            a, b = find(int(comp[tile[i]])), find(int(comp[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(nodes[tile[i]]), int(nodes[j])))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
@@ -359,16 +362,31 @@ def _short_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _long_links(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components in long open lists, compared in cells of two blocks of about BLOCK sets.
+    """Links across components in long open lists, compared in cells of two blocks of sets.
 
-    Most members of a list are in one component already. They meet the others, but not one another.
+    A group of similar texts stands in many lists with nearly the same members. Members with the same lowest token
+    among their long lists meet in the list of that token, so in no other one. In each list the largest such group,
+    or the largest component if that has more members, is sent to the blocks of the others but not to its own.
     """
-    largest = many.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(
-        F.max(F.struct("size", "comp")).alias("main")).select(
-        "token", F.col("main.comp").alias("main"), F.ceil(F.col("main.size") / BLOCK).alias("mains"),
-        F.col("main.size").alias("size"))
-    cut = many.join(largest, "token").withColumn("others", F.ceil((F.col("k") - F.col("size")) / BLOCK))
-    inside = F.col("comp") == F.col("main")
+    # a node has as many rows as long lists, no more than its prefix is long
+    many = many.select("token", "node", "n", "comp", F.min("token").over(Window.partitionBy("node")).alias("low"))
+    whole = many.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("items"))
+
+    def main(rows: DataFrame, by: str, out: str) -> DataFrame:
+        return rows.groupBy("token", by).agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(
+            F.max(F.struct("size", F.col(by).alias("of"))).alias(out))
+
+    plan = whole.join(main(many, "comp", "c"), "token").join(main(many.where("low < token"), "low", "l"), "token", "left")
+    by_low = F.coalesce(F.col("l.size") > F.col("c.size"), F.lit(False))
+    size = F.when(by_low, F.col("l.size")).otherwise(F.col("c.size"))
+
+    def blocks(n: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK, n * F.col("items") / F.col("k") / BLOCK_ITEMS))
+
+    plan = plan.select("token", by_low.alias("by_low"), F.when(by_low, F.col("l.of")).otherwise(F.col("c.of")).alias("of"),
+                       blocks(size).alias("mains"), blocks(F.col("k") - size).alias("others")).where("others > 0")
+    cut = many.join(plan, "token")
+    inside = F.when(F.col("by_low"), F.col("low") == F.col("of")).otherwise(F.col("comp") == F.col("of"))
     h = F.xxhash64("node", "token")
     cut = cut.withColumn("own", F.when(inside, F.col("others") + F.pmod(h, F.col("mains"))).otherwise(
         F.pmod(h, F.col("others"))))
