@@ -1,7 +1,7 @@
 """Token files: independent zstandard frames, a document index, and a trailing seek table with checksums.
 
 A file is a run of zstandard frames. Each data frame holds the ids of whole documents as little-endian unsigned
-32-bit integers; the last frame before the table is the index (doc ids, token counts and frame numbers). The table
+32-bit integers; the last frame before the table is the index (doc ids, token counts, frame numbers, and bits for null ids). The table
 is a skippable frame in the public seekable layout: compressed size, content size and checksum (low half of XXH64 of
 the content) of every frame, then a nine-byte footer. So any zstandard reader can unpack a file, and a reader that
 wants some documents reads footer, table, index and the frames that hold them.
@@ -23,13 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import Scratch
+from chronotext.llm.common import Scratch, small_batches, tidy
 from chronotext.llm.tokens import encoder, pack
 
 FRAME_BYTES = 1 << 20
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
-NO_ID = -(1 << 63)
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -47,13 +46,15 @@ class Writer:
         self.frame_bytes, self.held, self.size = frame_bytes, [], 0
         self.frames: list[tuple[int, int, int]] = []
         self.ids: list[int] = []
+        self.none: list[bool] = []
         self.counts: list[int] = []
         self.where: list[int] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         if self.size and self.size + len(ids) > self.frame_bytes:
             self.flush()
-        self.ids.append(NO_ID if doc_id is None else doc_id)
+        self.ids.append(doc_id or 0)
+        self.none.append(doc_id is None)
         self.counts.append(len(ids) // 4)
         self.where.append(len(self.frames))
         self.held.append(ids)
@@ -72,7 +73,8 @@ class Writer:
         if self.held:
             self.flush()
         self._frame(b"".join([struct.pack("<Q", len(self.ids)), np.array(self.ids, "<i8").tobytes(),
-                              np.array(self.counts, "<u8").tobytes(), np.array(self.where, "<u4").tobytes()]))
+                              np.array(self.counts, "<u8").tobytes(), np.array(self.where, "<u4").tobytes(),
+                              np.packbits(np.array(self.none, dtype=bool)).tobytes()]))
         table = b"".join(struct.pack("<III", *f) for f in self.frames)
         table += struct.pack("<IBI", len(self.frames), WITH_CHECKSUMS, SEEKABLE)
         self.out.write(struct.pack("<II", SKIPPABLE, len(table)) + table)
@@ -95,6 +97,7 @@ class Reader:
         self.doc_ids = np.frombuffer(index, "<i8", docs, 8)
         self.counts = np.frombuffer(index, "<u8", docs, 8 + 8 * docs).astype(np.int64)
         self.where = np.frombuffer(index, "<u4", docs, 8 + 16 * docs).astype(np.int64)
+        self.none = np.unpackbits(np.frombuffer(index, np.uint8, -(-docs // 8), 8 + 20 * docs), count=docs).astype(bool)
         self.before = np.concatenate([[0], np.cumsum(self.counts)])
 
     def frame(self, i: int) -> bytes:
@@ -108,15 +111,14 @@ class Reader:
     def documents(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int | None, int, bytes]]:
         """(doc_id, ids before it in the file, ids); only frames that hold a wanted document are unpacked."""
         rows = np.arange(len(self.doc_ids)) if wanted is None else np.flatnonzero(
-            np.isin(self.doc_ids, np.array(list(wanted), dtype=np.int64)))
+            np.isin(self.doc_ids, np.array(list(wanted), dtype=np.int64)) & ~self.none)
         at, content, base = -1, b"", 0
         for i in rows:
             if self.where[i] != at:
                 at = self.where[i]
                 content, base = self.frame(int(at)), int(self.before[np.searchsorted(self.where, at)])
             a = 4 * (int(self.before[i]) - base)
-            doc = int(self.doc_ids[i])
-            yield None if doc == NO_ID else doc, int(self.before[i]), content[a:a + 4 * int(self.counts[i])]
+            yield None if self.none[i] else int(self.doc_ids[i]), int(self.before[i]), content[a:a + 4 * int(self.counts[i])]
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id",
@@ -153,7 +155,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                 "docs": pa.array([len(writer.ids)], pa.int64()),
                 "tokens": pa.array([sum(writer.counts)], pa.int64())})
 
-    return dealt.mapInArrow(write, "part long, file string, docs long, tokens long")
+    small_batches(docs.sparkSession)
+    return dealt.mapInArrow(tidy(write, encoder), "part long, file string, docs long, tokens long")
 
 
 def read_token_files(files: DataFrame, wanted: list[int] | None = None) -> DataFrame:
@@ -180,7 +183,9 @@ def read_token_files(files: DataFrame, wanted: list[int] | None = None) -> DataF
                     if out:
                         yield _batch(out)
 
-    return placed.select("file", "base").repartition(F.col("file")).mapInArrow(
+    # a count of partitions, so that adaptive execution does not merge the short rows into one task
+    dealt = placed.select("file", "base").repartition(max(1, files.count()), "file")
+    return dealt.mapInArrow(
         read, "doc_id long, start long, ids binary")
 
 

@@ -339,7 +339,9 @@ def near_rows(seed, n=40, variants=50):
 
 
 @pytest.mark.parametrize("setup", [(4, 85, {}), (5, 80, {}), (4, 85, {
-    "COMMON": 3, "SHORT_LIST": 2, "BLOCK": 8, "ROUNDS": 1}), (3, 60, {"SEND_IDS": 0, "ROUNDS": 0, "COMMON_KEPT": 0})])
+    "COMMON": 3, "SHORT_LIST": 2, "BLOCK": 8, "ROUNDS": 1}), (3, 60, {"SEND_IDS": 0, "ROUNDS": 0, "COMMON_KEPT": 0}), (4, 85, {
+        "COMMON": 2, "SHORT_LIST": 1, "BLOCK": 4, "BLOCK_ITEMS": 200, "ROUNDS": 0}), (5, 80, {
+            "COMMON": 1 << 20, "SHORT_LIST": 1, "BLOCK": 5, "ROUNDS": 1})])
 def test_ngram_join(spark, monkeypatch, setup):
     width, percent, changed = setup
     for k, v in changed.items():
@@ -556,3 +558,16 @@ def test_vectors_recall_with_many_cells(spark, monkeypatch):
     got = vectors.near_vectors(df).agg(F.sum("n_links")).first()[0]
     want = int((s >= 0.95).sum())
     assert want > 1000 and 0.9 * want <= got <= want
+
+
+def test_token_files_keep_the_smallest_id(spark, tmp_path):
+    rows = [(-(1 << 63), "one two"), (None, "none"), ((1 << 63) - 1, ""), (0, None), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = default_path("byte_bpe_50k.json")
+    files = token_files.write_token_files(df.repartition(3), f"file://{tmp_path}/files", path, 2).collect()
+    stored = spark.createDataFrame(files, "part long, file string, docs long, tokens long")
+    got = token_files.read_token_files(stored)
+    assert got.rdd.getNumPartitions() == len(files)
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect())) == sorted(
+        (i is None, i or 0) for i, _ in rows)
+    assert {r["doc_id"] for r in token_files.read_token_files(stored, [0, -(1 << 63)]).collect()} == {0, -(1 << 63)}
