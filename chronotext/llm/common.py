@@ -45,8 +45,8 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, ARROW_ROWS)
 
 
-def tidy(run: Callable, *caches: Callable) -> Callable:
-    """``run`` over the batches of a task; then the caches are emptied and free memory goes back to the system.
+def tidy(run: Callable, *forget: Callable[[], None]) -> Callable:
+    """``run`` over the batches of a task; then ``forget`` is called and free memory goes back to the system.
 
     Workers are used again by later tasks, and what each keeps would add up beside the executor's own memory.
     """
@@ -54,8 +54,8 @@ def tidy(run: Callable, *caches: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            for cache in caches:
-                cache.cache_clear()
+            for drop in forget:
+                drop()
             give_back()
 
     return task

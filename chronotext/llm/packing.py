@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.llm.common import Scratch, small_batches, tidy
-from chronotext.llm.tokens import encoder, narrowest, pack
+from chronotext.llm.tokens import encoder, forget_words, narrowest, pack
 
 GROUP_ROWS = 1024
 BATCH_BYTES = 16 << 20
@@ -144,7 +144,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, code: str, key: st
     small_batches(docs.sparkSession)
     return docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"),
-        F.col(text).alias("text")).mapInArrow(tidy(run, encoder), "row long, key long, n long, ids binary")
+        F.col(text).alias("text")).mapInArrow(tidy(run, forget_words), "row long, key long, n long, ids binary")
 
 
 def place(lengths: DataFrame, window: int, scratch: Scratch) -> DataFrame:

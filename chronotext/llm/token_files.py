@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronotext.llm.common import Scratch, small_batches, tidy
-from chronotext.llm.tokens import encoder, pack
+from chronotext.llm.tokens import encoder, forget_words, pack
 
 FRAME_BYTES = 1 << 20
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -156,7 +156,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                 "tokens": pa.array([sum(writer.counts)], pa.int64())})
 
     small_batches(docs.sparkSession)
-    return dealt.mapInArrow(tidy(write, encoder), "part long, file string, docs long, tokens long")
+    return dealt.mapInArrow(tidy(write, forget_words), "part long, file string, docs long, tokens long")
 
 
 def read_token_files(files: DataFrame, wanted: list[int] | None = None) -> DataFrame:

@@ -6,10 +6,11 @@ import json
 import os
 import re
 import sys
+import weakref
 from array import array
 from functools import lru_cache
 
-REMEMBERED_BYTES = 32 << 20  # of words and their ids, with what Python needs to hold them
+REMEMBERED_BYTES = 64 << 20  # of words and their ids, with what Python needs to hold them
 ENTRY_BYTES = 160
 # fixed value: how the byte-level pre-tokenizer cuts a text
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,6 +56,15 @@ def plain_merges(spec: dict):
     return tiktoken.Encoding("merges", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
 
+_ENCODERS: weakref.WeakSet[TextEncoder] = weakref.WeakSet()
+
+
+def forget_words() -> None:
+    """Empty the memories of all encoders of this process; their vocabularies stay."""
+    for e in _ENCODERS:
+        e.forget()
+
+
 class TextEncoder:
     """Encode texts with a tokenizer file; the result is the library's, at several times its speed.
 
@@ -85,9 +95,15 @@ class TextEncoder:
         self.merges = plain_merges(spec) if self.by_word else None
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
+        _ENCODERS.add(self)
         self.newline = pack(self.tokenizer.encode("\n", add_special_tokens=False).ids, code)
         self.remembered, self.held = remembered, 0
 
+    def forget(self) -> None:
+        self.first.clear()
+        self.later.clear()
+        self.held = 0
+
     def learn(self, words: list[str], known: dict[str, bytes | None], lead: str) -> None:
         """Add the unknown words; None marks one that can't stand alone, for want of a safe edge."""
         code, plain, merge = self.code, self.plain.fullmatch, self.merges and self.merges.encode_ordinary
@@ -105,9 +121,7 @@ class TextEncoder:
         text = text or ""
         if self.by_word and text:
             if self.held > self.remembered:
-                self.first.clear()
-                self.later.clear()
-                self.held = 0
+                self.forget()
             lines = [line.split(" ") for line in text.split("\n")]
             heads = [line.pop(0) for line in lines]
             for retry in (False, True):
@@ -126,7 +140,7 @@ class TextEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, code: str = "I") -> TextEncoder:
-    """One encoder per task and file: see ``tidy``."""
+    """One encoder per worker and file; the words it remembers are dropped after each task: see ``tidy``."""
     return TextEncoder(path, code)
 
 
