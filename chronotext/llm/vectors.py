@@ -1,14 +1,15 @@
 """Near-duplicate vectors by product quantisation over coarse inverted lists, with an exact rerank.
 
 Unit vectors are assigned to the nearest of some coarse centres; the residual is cut into subspaces and each part is
-coded by the nearest of 256 sub-centres. A vector then looks for partners in the lists that are likely to hold one: a
-partner within distance r lies across the bisector of two centres only if the vector is within r of it, and the
-displacement of a partner in a direction of its own reaches only about r / sqrt(dimension) along the line between
-them. MARGIN is how many such deviations are probed. In those lists distances are read from tables (asymmetric: the
-vector as it is, its partner as coded), and since the coding error of each partner is stored, the triangle inequality
-turns a table distance into a bound that loses nothing. What is left is compared by its exact cosine in double
-precision. So no false link is found, and a link is missed only if its partner is displaced straight across a far
-bisector; a MARGIN of sqrt(dimension) or more excludes that too.
+coded by the nearest of 256 sub-centres. A vector then looks for partners in the lists that may hold one. Two partners
+within distance r that lie in different lists stand on either side of the bisector of the two centres, so the depths
+of both add up to at most r, and one of them is within r / 2 of it: each vector visits the lists whose bisector is that
+near, and a link counts for both ends even if one end alone visits the other. No link is lost, whatever the directions
+of the vectors. In those lists distances are read from tables (asymmetric: the vector as it is, its partner as coded),
+and since the coding error of each partner is stored, the triangle inequality turns a table distance into a bound that
+loses nothing. What is left is compared by its exact cosine in double precision.
+
+Vectors of different dimensions have no cosine; each dimension has centres and lists of its own.
 """
 
 from __future__ import annotations
@@ -18,15 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import Scratch, components
+from chronotext.llm.common import Scratch, components, unit
 
-FIT_ROWS = 40_000    # vectors that the quantiser is fitted on, at most
+FIT_ROWS = 40_000    # vectors that the quantisers are fitted on, at most (one per dimension at least)
 CELL_ROWS = 200      # coarse centres: one per so many vectors of the table, up to MAX_CELLS
 MAX_CELLS = 4096
-MARGIN = 4.0         # standard deviations of a partner's displacement that are probed
 CODES = 256
 PARTS = 8
 BLOCK = 1024         # members of a cell that are compared at once
@@ -72,14 +72,14 @@ class Quantiser:
         return cell, codes.astype(np.uint8), np.sqrt(((residual - back) ** 2).sum(axis=1))
 
     def probes(self, x: np.ndarray, cell: np.ndarray, radius: float) -> np.ndarray:
-        """For each vector the cells to search for vectors within the radius; its own is one of them."""
+        """For each vector the cells whose bisector with its own is within half the radius, and its own cell."""
         square = (self.coarse ** 2).sum(axis=1)
         d = square[None, :] - 2 * (x @ self.coarse.T)
         own = d[np.arange(len(x)), cell][:, None]
         home = self.coarse[cell]
         apart = np.sqrt(np.maximum(square[cell][:, None] + square[None, :] - 2 * (home @ self.coarse.T), 0))
         past = (d - own) / (2 * np.maximum(apart, 1e-12))
-        out = past <= radius * min(1.0, MARGIN / np.sqrt(self.dim)) + SLACK
+        out = (past <= radius / 2 + SLACK) | (apart < SLACK)
         out[np.arange(len(x)), cell] = True
         return out
 
@@ -94,31 +94,42 @@ class Quantiser:
         return np.sqrt(np.maximum(out, 0))
 
 
-def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, and which rows have one: of that dimension, finite, not zero."""
+def unit_rows(column: pa.Array) -> list[bytes | None]:
+    """Unit vectors in double precision as bytes; None where there is none: null, empty, zero or not finite."""
     rows = column.to_pylist()
-    ok = np.array([v is not None and len(v) == dim and None not in v for v in rows], dtype=bool)
-    x = np.zeros((len(rows), dim))
-    if ok.any():
-        x[ok] = np.array([v for v, o in zip(rows, ok, strict=True) if o], dtype=np.float64)
-    ok &= np.isfinite(x).all(axis=1)
-    x[~ok] = 0
-    big = np.abs(x).max(axis=1, initial=0)
-    ok &= big > 0
-    x[ok] /= big[ok, None]  # no overflow in the squares
-    x[ok] /= np.sqrt((x[ok] ** 2).sum(axis=1))[:, None]
-    return x, ok
+    out: list[bytes | None] = [None] * len(rows)
+    for at in by_length([len(v) if v is not None and None not in v else 0 for v in rows]).values():
+        x = np.array([rows[i] for i in at], dtype=np.float64)
+        ok = np.isfinite(x).all(axis=1)
+        x[~ok] = 0
+        big = np.abs(x).max(axis=1)
+        ok &= big > 0
+        x[ok] /= big[ok, None]  # no overflow in the squares
+        x[ok] /= np.sqrt((x[ok] ** 2).sum(axis=1))[:, None]
+        for i, v, good in zip(at, floats(x), ok, strict=True):
+            out[i] = v if good else None
+    return out
+
+
+def by_length(lengths: list[int]) -> dict[int, list[int]]:
+    """Places of the rows of each length above zero."""
+    out: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths):
+        if n:
+            out.setdefault(n, []).append(i)
+    return out
 
 
 def floats(x: np.ndarray) -> list[bytes]:
     return [v.tobytes() for v in np.ascontiguousarray(x, dtype=np.float64)]
 
 
-def compare(pdf: pd.DataFrame, quantiser: Quantiser, least: float) -> pd.DataFrame:
+def compare(pdf: pd.DataFrame, quantisers: dict[int, Quantiser], least: float) -> pd.DataFrame:
     """One block of a cell and one slice of its visitors: searching rows against the members stored there.
 
-    Returns per searching node its number of links (weighted by copies) into the block, and a spanning forest of the
-    links, as rows (a, b, links) with b null for counts. At most two rows per row read.
+    Returns per searching node its number of links (weighted by copies) into the block, per member that of its links
+    to visitors whose own cell it does not visit, and a spanning forest of the links, as rows (a, b, links) with b
+    null for counts. At most two rows per row read.
     """
     member, seeking = pdf[pdf["member"]], pdf[~pdf["member"]]
     out_a, out_b, out_n = [], [], []
@@ -128,7 +139,11 @@ def compare(pdf: pd.DataFrame, quantiser: Quantiser, least: float) -> pd.DataFra
         y = np.frombuffer(b"".join(member["vec"]), dtype=np.float64).reshape(len(member), -1)
         codes = np.frombuffer(b"".join(member["codes"]), dtype=np.uint8).reshape(len(member), -1)
         error = member["error"].to_numpy(dtype=np.float64)
-        cell = int(member["probe"].iloc[0])
+        cell, quantiser = int(member["probe"].iloc[0]), quantisers[int(member["dim"].iloc[0])]
+        visits = np.zeros((len(member), len(quantiser.coarse)), dtype=bool)
+        for i, cells in enumerate(member["probes"]):
+            visits[i, cells] = True
+        unseen = np.zeros(len(member), dtype=np.int64)
         root: dict[int, int] = {}
 
         def find(v: int) -> int:
@@ -149,6 +164,8 @@ def compare(pdf: pd.DataFrame, quantiser: Quantiser, least: float) -> pd.DataFra
                 hit[p, q] = np.einsum("ij,ij->i", x[p], y[q]) >= least
             hit &= mine[:, None] != ids[None, :]
             n = hit @ copies
+            one_sided = hit & ~visits[:, seek["cell"].to_numpy(dtype=np.int64)].T
+            unseen += seek["copies"].to_numpy(dtype=np.int64) @ one_sided
             for a in np.flatnonzero(n):
                 out_a.append(int(mine[a]))
                 out_b.append(None)
@@ -160,14 +177,18 @@ def compare(pdf: pd.DataFrame, quantiser: Quantiser, least: float) -> pd.DataFra
                         out_a.append(int(mine[a]))
                         out_b.append(int(ids[b]))
                         out_n.append(0)
+        for b in np.flatnonzero(unseen):
+            out_a.append(int(ids[b]))
+            out_b.append(None)
+            out_n.append(int(unseen[b]))
     return pd.DataFrame({"a": pd.array(out_a, "Int64"), "b": pd.array(out_b, "Int64"), "n": pd.array(out_n, "Int64")})
 
 
 def near_vectors(rows: DataFrame, least: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) per row: links are pairs with cosine >= ``least`` in double precision.
 
-    Vectors that are null, zero, hold null or non-finite components, or have another dimension than most, link with
-    nothing: no links, their own component, kept. Equal unit vectors are one node that stands for its copies, so
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing: no links, their own
+    component, kept. Vectors link with others of their own dimension, whichever that is. Equal unit vectors are one node that stands for its copies, so
     copies cost nothing and count as links of each other. Null keys take part as rows but never name a component
     unless all its keys are null (then component_id is null and kept is false); rows with equal keys are separate
     vectors. An empty table gives no rows. Other columns are not looked at.
@@ -178,27 +199,22 @@ def near_vectors(rows: DataFrame, least: float = 0.95, key: str = "vec_id", vect
     spark = rows.sparkSession
     scratch = Scratch(spark, "pq")
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    sizes = rows.where(F.col("v").isNotNull()).groupBy(F.size("v").alias("d")).count().orderBy(
-        F.desc("count"), "d").first()
-    dim = sizes["d"] if sizes else 0
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, ok = unit_rows(batch.column(1), dim)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([v if o else None for v, o in zip(floats(x), ok, strict=True)], pa.binary())],
-                names=["id", "vec"])
+                [batch.column(0), pa.array(unit_rows(batch.column(1)), pa.binary())], names=["id", "vec"])
 
     base = rows.mapInArrow(normal, "id long, vec binary").withColumn("node", F.xxhash64("vec"))
     base = scratch.write(base, "base")
     nodes = base.where(F.col("vec").isNotNull()).groupBy("node").agg(
-        F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies"))
+        F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies")).withColumn(
+        "dim", (F.length("vec") / 8).cast("int"))
     nodes = scratch.write(nodes, "nodes")
-    # a bounded sample fits the quantiser; every vector is indexed and searched
-    sample = nodes.orderBy(F.xxhash64(F.lit(1), "node")).limit(FIT_ROWS).select("vec").toPandas()["vec"]
-    if len(sample):
-        x = np.frombuffer(b"".join(sample), dtype=np.float64).reshape(len(sample), -1)
-        links = scratch.write(_links(nodes, Quantiser(x, nodes.count()), least, scratch), "links")
+    # one row per dimension
+    sizes = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}
+    if sizes:
+        links = scratch.write(_links(nodes, _fit(nodes, sizes), least, scratch), "links")
         parts = components(links.where("b is not null").select("a", "b"), scratch)
         counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
         nodes = nodes.select("node", "copies").join(counts, "node", "left").join(parts, "node", "left")
@@ -215,32 +231,45 @@ def near_vectors(rows: DataFrame, least: float = 0.95, key: str = "vec_id", vect
                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _links(nodes: DataFrame, quantiser: Quantiser, least: float, scratch: Scratch) -> DataFrame:
+def _fit(nodes: DataFrame, sizes: dict[int, int]) -> dict[int, Quantiser]:
+    """A quantiser per dimension, from a bounded sample; every vector is indexed and searched."""
+    share = max(1, FIT_ROWS // len(sizes))
+    table = F.broadcast(nodes.sparkSession.createDataFrame(list(sizes.items()), "dim int, n long"))
+    # twice the share at first, so that one task ranks few rows
+    drawn = nodes.join(table, "dim").withColumn("u", unit(1, F.col("node"))).where(
+        F.col("u") * F.col("n") <= 2 * share + 100)
+    drawn = drawn.withColumn("at", F.row_number().over(Window.partitionBy("dim").orderBy("u", "node"))).where(
+        F.col("at") <= share).select("dim", "vec").toPandas()
+    return {int(dim): Quantiser(np.frombuffer(b"".join(part["vec"]), dtype=np.float64).reshape(len(part), -1),
+                                sizes[int(dim)]) for dim, part in drawn.groupby("dim")}
+
+
+def _links(nodes: DataFrame, quantisers: dict[int, Quantiser], least: float, scratch: Scratch) -> DataFrame:
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    cell_of = ["dim", "probe"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw = batch.column(1).to_pylist()
-            x = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(raw), -1)
-            cell, codes, error = quantiser.encode(x)
-            probes = [np.flatnonzero(p).tolist() for i in range(0, len(x), 1024)
-                      for p in quantiser.probes(x[i:i + 1024], cell[i:i + 1024], radius)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(cell.astype(np.int32)),
-                 pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
-                 pa.array(probes, pa.list_(pa.int32()))],
-                names=["node", "vec", "copies", "cell", "codes", "error", "probes"])
-
-    stored = scratch.write(nodes.select("node", "vec", "copies").mapInArrow(
-        index, "node long, vec binary, copies long, cell int, codes binary, error double, probes array<int>"), "index")
-    # members and visitors per cell: one row per coarse centre, at most MAX_CELLS
-    members = {r["cell"]: r["count"] for r in stored.groupBy("cell").count().collect()}
-    visits = stored.select(F.explode("probes").alias("probe"))
-    grid = [(r["probe"], members.get(r["probe"], 0) // BLOCK + 1, r["count"] // SEEK_BLOCK + 1)
-            for r in visits.groupBy("probe").count().collect()]
-    table = F.broadcast(scratch.spark.createDataFrame(grid, "probe int, blocks int, slices int"))
+            for dim, at in by_length(batch.column(3).to_pylist()).items():
+                part, quantiser = batch.take(pa.array(at)), quantisers[dim]
+                x = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.float64).reshape(len(at), dim)
+                cell, codes, error = quantiser.encode(x)
+                probes = [np.flatnonzero(p).tolist() for i in range(0, len(x), 1024)
+                          for p in quantiser.probes(x[i:i + 1024], cell[i:i + 1024], radius)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()),
+                     pa.array(error), pa.array(probes, pa.list_(pa.int32()))],
+                    names=["node", "vec", "copies", "dim", "cell", "codes", "error", "probes"])
+
+    stored = scratch.write(nodes.select("node", "vec", "copies", "dim").mapInArrow(
+        index, "node long, vec binary, copies long, dim int, cell int, codes binary, error double, probes array<int>"),
+        "index")
+    # members and visitors per cell: one row per coarse centre, at most MAX_CELLS for a dimension
+    members = {(r["dim"], r["cell"]): r["count"] for r in stored.groupBy("dim", "cell").count().collect()}
+    visits = stored.select("dim", F.explode("probes").alias("probe")).groupBy(*cell_of).count().collect()
+    grid = [(r["dim"], r["probe"], members.get((r["dim"], r["probe"]), 0) // BLOCK + 1, r["count"] // SEEK_BLOCK + 1)
+            for r in visits]
+    table = F.broadcast(scratch.spark.createDataFrame(grid, "dim int, probe int, blocks int, slices int"))
 
     def every(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -248,15 +277,16 @@ def _links(nodes: DataFrame, quantiser: Quantiser, least: float, scratch: Scratc
     def one(n: str, seed: int):
         return F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
 
-    seek = stored.select("node", "vec", F.explode("probes").alias("probe")).join(table, "probe").select(
-        "node", "vec", F.lit(None).cast("long").alias("copies"), F.lit(None).cast("binary").alias("codes"),
-        F.lit(None).cast("double").alias("error"), "probe", every("blocks").alias("block"),
-        one("slices", 1).alias("slice"), F.lit(False).alias("member"))
-    held = stored.withColumnRenamed("cell", "probe").join(table, "probe").select(
-        "node", "vec", "copies", "codes", "error", "probe", one("blocks", 2).alias("block"),
+    seek = stored.select("node", "vec", "copies", "dim", "cell", F.explode("probes").alias("probe")).join(
+        table, cell_of).select(
+        "node", "vec", "copies", "cell", F.lit(None).cast("binary").alias("codes"),
+        F.lit(None).cast("double").alias("error"), F.lit(None).cast("array<int>").alias("probes"), *cell_of,
+        every("blocks").alias("block"), one("slices", 1).alias("slice"), F.lit(False).alias("member"))
+    held = stored.withColumn("probe", F.col("cell")).join(table, cell_of).select(
+        "node", "vec", "copies", "cell", "codes", "error", "probes", *cell_of, one("blocks", 2).alias("block"),
         every("slices").alias("slice"), F.lit(True).alias("member"))
-    return seek.unionByName(held).groupBy("probe", "block", "slice").applyInPandas(
-        lambda pdf: compare(pdf, quantiser, least), "a long, b long, n long")
+    return seek.unionByName(held).groupBy(*cell_of, "block", "slice").applyInPandas(
+        lambda pdf: compare(pdf, quantisers, least), "a long, b long, n long")
 
 
 SQL = r"""

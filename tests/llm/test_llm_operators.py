@@ -415,7 +415,7 @@ def brute_vectors(rows, least):
 @pytest.mark.parametrize("small", [False, True])
 def test_vectors(spark, monkeypatch, small):
     if small:
-        for k, v in {"BLOCK": 7, "SEEK_BLOCK": 11, "CELL_ROWS": 9, "FIT_ROWS": 60, "MARGIN": 9.0}.items():
+        for k, v in {"BLOCK": 7, "SEEK_BLOCK": 11, "CELL_ROWS": 9, "FIT_ROWS": 60}.items():
             monkeypatch.setattr(vectors, k, v)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 8))
@@ -544,8 +544,39 @@ def test_language(spark, docs, none):
     assert json.dumps(model.labels)
 
 
+@pytest.mark.parametrize("dim, leading, cosine, decay", [
+    (64, 64, 0.951, 0.0), (64, 2, 0.951, 0.5), (384, 384, 0.951, 0.7), (384, 4, 0.951, 0.7), (384, 4, 0.97, 0.7),
+    (768, 1, 0.951, 0.7)])
+def test_vectors_lose_no_link_in_any_direction(spark, monkeypatch, dim, leading, cosine, decay):
+    """Pairs a little above the threshold, displaced in the leading directions of a falling spectrum."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 10)
+    rng = np.random.default_rng(dim + leading)
+    spectrum = np.arange(1, dim + 1.0) ** -decay
+    x = rng.normal(size=(400, dim)) * spectrum
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=x.shape) * spectrum * (np.arange(dim) < leading)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate([x, cosine * x + np.sqrt(1 - cosine ** 2) * off])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, 0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df).collect()}
+    want = (s >= 0.95).sum(axis=1)
+    assert want.min() >= 1 and got == dict(enumerate(want.tolist()))
+
+
+def test_vectors_of_several_dimensions(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.1]), (5, [1.0]), (6, [3.0]),
+            (7, [-1.0]), (8, []), (9, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (0, 9)}
+
+
 def test_vectors_recall_with_many_cells(spark, monkeypatch):
-    """The default margin against brute force: links just above the threshold, in directions of their own."""
+    """Against brute force: links just above the threshold, in directions of their own."""
     monkeypatch.setattr(vectors, "CELL_ROWS", 15)
     rng = np.random.default_rng(11)
     centres = rng.normal(size=(150, 64))
