@@ -83,15 +83,19 @@ class Quantiser:
         out[np.arange(len(x)), cell] = True
         return out
 
-    def table_distances(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Distances from vectors to the coded members of one cell, summed from a table per subspace."""
+    def table_squares(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Squared distances from the coded members of one cell (rows) to vectors, summed from a table per subspace.
+
+        A table holds the products of a subspace; the squares of both sides are added once.
+        """
         r = x - self.coarse[cell]
-        out = np.zeros((len(x), len(codes)))
+        square = sum((b ** 2).sum(axis=1)[codes[:, i]] for i, b in enumerate(self.books))
+        out = square[:, None].astype(np.float32) + (r ** 2).sum(axis=1)[None, :].astype(np.float32)
+        r = r.astype(np.float32)
         for i, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            part = r[:, c]
-            table = (part ** 2).sum(axis=1)[:, None] + (b ** 2).sum(axis=1)[None, :] - 2 * part @ b.T
-            out += table[:, codes[:, i]]
-        return np.sqrt(np.maximum(out, 0))
+            table = (-2 * b).astype(np.float32) @ r[:, c].T
+            out += table[codes[:, i]]  # whole rows of the table
+        return out
 
 
 def unit_rows(column: pa.Array) -> list[bytes | None]:
@@ -156,13 +160,15 @@ def compare(pdf: pd.DataFrame, quantisers: dict[int, Quantiser], least: float) -
             seek = seeking.iloc[at:at + BLOCK]
             mine = seek["node"].to_numpy()
             x = np.frombuffer(b"".join(seek["vec"]), dtype=np.float64).reshape(len(seek), -1)
-            close = quantiser.table_distances(x, cell, codes) <= radius + error[None, :] + SLACK
-            hit = np.zeros(close.shape, dtype=bool)
-            i, j = np.nonzero(close)
+            close = quantiser.table_squares(x, cell, codes) <= ((radius + error) ** 2 + SLACK)[:, None]
+            hit = np.zeros((len(seek), len(member)), dtype=bool)
+            j, i = np.nonzero(close)
             for k in range(0, len(i), 1 << 18):
                 p, q = i[k:k + (1 << 18)], j[k:k + (1 << 18)]
                 hit[p, q] = np.einsum("ij,ij->i", x[p], y[q]) >= least
             hit &= mine[:, None] != ids[None, :]
+            if not hit.any():
+                continue
             n = hit @ copies
             one_sided = hit & ~visits[:, seek["cell"].to_numpy(dtype=np.int64)].T
             unseen += seek["copies"].to_numpy(dtype=np.int64) @ one_sided
