@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronotext.operators import activity, catalog
 from chronotext.registry.base import Registry, table
 from chronotext.session import new_dir
-from chronotext.sources import feeds, tables
+from chronotext.sources import feeds, snapshots, tables
 from chronotext.streaming import jobs
 
 R = Registry()
@@ -294,6 +294,54 @@ def incremental_sync(spark, sf):
         F.max("status").alias("status"))
 
 
+def _in_files(spark, sf, n=4):
+    """Events dealt to ``n`` files, which a stream reads one a batch."""
+    folder = new_dir(spark, "events")
+    e = table(spark, sf, "events")
+    e.repartition(n, F.pmod("event_id", F.lit(n))).sortWithinPartitions("event_id").write.parquet(folder)
+    return jobs.file_stream(spark, folder, e.schema, files_per_batch=1)
+
+
+@R.add("incremental_sync_marks", """
+select event_type as channel_id, count(*) filter (where event_type in ('error', 'click') and event_id % 100 = 7) = 0 as moved
+from events group by 1""")
+def incremental_sync_marks(spark, sf):
+    """Channels whose marks move: one that failed in any batch keeps its place, though others of its batches are fine."""
+    e = table(spark, sf, "events")
+    marks = e.where("event_type <> 'view'").groupBy(F.col("event_type").alias("channel_id")).agg(
+        F.min("ts").cast("timestamp").alias("last_synced_at"))
+    found = _in_files(spark, sf).select(F.col("event_id").alias("video_id"), F.col("event_type").alias("channel_id"),
+                                        F.to_date("ts").alias("upload_date"))
+    bad = F.col("channel_id").isin("error", "click") & (F.col("video_id") % 100 == 7)
+    process = lambda df: df.select("video_id", "channel_id", F.lit("success").alias("status"),
+                                   F.when(bad, "no audio").alias("error"))
+    marks_out = new_dir(spark, "marks")
+    jobs.incremental_sync(found, marks, process, new_dir(spark, "synced"), new_dir(spark, "status"),
+                          new_dir(spark, "ckpt"), marks_out)
+    before = marks.select("channel_id", F.col("last_synced_at").alias("was"))
+    after = e.select(F.col("event_type").alias("channel_id")).distinct().join(
+        spark.read.parquet(marks_out), "channel_id", "left").join(before, "channel_id", "left")
+    return after.select("channel_id", (F.col("last_synced_at").isNotNull() & ~F.col("last_synced_at").eqNullSafe(
+        F.col("was"))).alias("moved"))
+
+
+@R.add("upsert_stream", """
+select case when user_id % 50 <> 0 then user_id end as user_id, event_type, event_id, value from events
+qualify row_number() over (partition by case when user_id % 50 <> 0 then user_id end, event_type
+                           order by ts desc, event_id desc) = 1""")
+def upsert_stream(spark, sf):
+    """The newest event per user and type, one batch a file; then the first batch comes once more."""
+    stream = _in_files(spark, sf).select(
+        F.when(F.col("user_id") % 50 != 0, F.col("user_id")).alias("user_id"), "event_type", "event_id", "value", "ts")
+    kept, newest = new_dir(spark, "kept"), [F.col("ts"), F.col("event_id")]
+    jobs.upsert_stream(stream, ["user_id", "event_type"], newest, kept, new_dir(spark, "ckpt"), 16)
+    again = spark.createDataFrame([], stream.schema).unionByName(table(spark, sf, "events").select(
+        "user_id", "event_type", "event_id", (F.col("value") + 1).alias("value"), (F.col("ts") + F.expr(
+            "interval 1 day")).alias("ts")))
+    snapshots.upsert_sink(kept, ["user_id", "event_type"], newest)(again, 0)
+    return snapshots.read_snapshot(spark, kept, stream.schema).drop("ts")
+
+
 @R.add("stream_dedup", "select distinct user_id, event_type from events")
 def stream_dedup(spark, sf):
     out = new_dir(spark, "once")

@@ -31,13 +31,22 @@ def latest(updates: DataFrame, keys: Sequence[str], version: Sequence[Column]) -
     return picked.select(*keys, "_row.*").select(*updates.columns)
 
 
+def without(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose key is not in ``other``; a null key equals a null key."""
+    taken = other.select(*[F.col(k).alias(f"_r_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(taken[f"_r_{k}"])
+    return rows.join(taken, same, "left_anti")
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], version: Sequence[Column],
            ignore_existing: bool = False) -> DataFrame:
-    """Insert or replace by key; with ``ignore_existing`` rows already stored win."""
+    """Insert or replace by key; with ``ignore_existing`` rows already stored win. A null key is a key like others."""
     fresh = latest(updates, keys, version)
     if ignore_existing:
-        return target.unionByName(fresh.join(target.select(*keys), list(keys), "left_anti"))
-    return target.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
+        return target.unionByName(without(fresh, target, keys))
+    return without(target, fresh, keys).unionByName(fresh)
 
 
 def write_upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str],

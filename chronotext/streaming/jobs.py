@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronotext.operators.activity import take_token
 from chronotext.operators.catalog import sync_summary
+from chronotext.sources import snapshots
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
@@ -42,6 +42,12 @@ def write_batch(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def upsert_stream(stream: DataFrame, keys: Sequence[str], version: Sequence[Column], table: str, checkpoint: str,
+                  buckets: int = snapshots.BUCKETS) -> None:
+    """Keep the newest row per key in a table of whole commits; a replayed batch changes nothing."""
+    _drain(stream.writeStream.foreachBatch(snapshots.upsert_sink(table, keys, version, buckets)), checkpoint)
+
+
 def dedup_ids(stream: DataFrame, ids: Sequence[str], ts: str, lateness: str, out: str, checkpoint: str) -> None:
     """Pass each id once; an id is forgotten once the watermark is ``lateness`` past it, which bounds the state."""
     once = stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(list(ids))
@@ -155,13 +161,12 @@ def incremental_sync(stream: DataFrame, marks: DataFrame, process: Callable[[Dat
     ``stream``: video_id, channel_id, upload_date. ``marks``: channel_id, last_synced_at. Rows from before the day of
     the last sync are skipped; the rest go through ``process``, which returns video_id, channel_id, status, error.
     Each batch writes its results and its sync_status rows, with the times it began and ended, to folders of its own.
-    When all is read, the marks of the channels that were synced without an error move to the end of their last batch
-    and are written to ``marks_out``, for the next run. They stand still during a run, whose batches belong together.
+    When all is read, the marks of the channels that have no video whose newest attempt failed move to the end of their
+    last batch and are written to ``marks_out``, for the next run. All batches since a channel's mark are judged, those
+    of a run that ended before it wrote its marks included. Marks stand still during a run, whose batches belong
+    together.
     """
-    ran = []
-
     def handle(df: DataFrame, batch_id: int) -> None:
-        ran.append(batch_id)
         began = dt.datetime.now(dt.timezone.utc)
         write_batch(out)(process(new_since(df, marks)), batch_id)
         results = df.sparkSession.read.parquet(f"{out}/batch_id={batch_id}").withColumn("run_id", F.lit(batch_id))
@@ -171,9 +176,26 @@ def incremental_sync(stream: DataFrame, marks: DataFrame, process: Callable[[Dat
 
     _drain(stream.writeStream.foreachBatch(handle), checkpoint)
     if marks_out:
-        done = [stream.sparkSession.read.parquet(f"{status_out}/batch_id={b}") for b in ran]
-        done = reduce(DataFrame.unionByName, done).where("status = 'completed'") if done else None
-        (marks if done is None else advance_marks(marks, done)).write.mode("overwrite").parquet(marks_out)
+        spark = stream.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status_out)
+        any_batch = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        moved = synced_marks(marks, spark.read.parquet(out), spark.read.parquet(status_out)) if any_batch else marks
+        moved.write.mode("overwrite").parquet(marks_out)
+
+
+def synced_marks(marks: DataFrame, results: DataFrame, status: DataFrame) -> DataFrame:
+    """Marks after the batches that began at or after each channel's mark.
+
+    ``results``: batch_id, video_id, channel_id, error. ``status``: batch_id, channel_id and the times of the batch. A
+    channel with a video whose newest attempt failed keeps its mark, whatever its other batches did.
+    """
+    since = status.join(marks, "channel_id", "left").where(
+        F.col("last_synced_at").isNull() | (F.col("last_sync_started_at") >= F.col("last_synced_at"))).select(
+        "channel_id", "batch_id", "last_sync_completed_at")
+    tries = results.select("channel_id", "batch_id", "video_id", F.col("error").isNotNull().alias("failed")).join(
+        since.select("channel_id", "batch_id"), ["channel_id", "batch_id"], "left_semi")
+    newest = tries.groupBy("channel_id", "video_id").agg(F.max_by("failed", F.struct("batch_id", "failed")).alias("failed"))
+    return advance_marks(marks, since.join(newest.where("failed").select("channel_id"), "channel_id", "left_anti"))
 
 
 def new_since(found: DataFrame, marks: DataFrame) -> DataFrame:

@@ -161,6 +161,22 @@ def test_marks_move_and_the_next_run_takes_only_what_is_new(spark):
     assert sorted(r.video_id for r in spark.read.parquet(again).collect()) == ["bad", "new"]
 
 
+def test_marks_judge_all_batches_and_newest_attempts(spark):
+    marks = spark.createDataFrame([("a", "2024-01-01"), ("c", "2024-01-05")], "channel_id string, t string").select(
+        "channel_id", F.to_timestamp("t").alias("last_synced_at"))
+    status = spark.createDataFrame(
+        [(b, c, f"2024-01-0{b + 2}") for b in range(3) for c in "abd"] + [(0, "c", "2024-01-02")],
+        "batch_id int, channel_id string, t string").select("batch_id", "channel_id", F.to_timestamp("t").alias(
+            "last_sync_started_at"), F.to_timestamp("t").alias("last_sync_completed_at"))
+    results = spark.createDataFrame(
+        [(0, "x", "a", "bad"), (1, "y", "a", None),                        # failed, then another video
+         (0, "x", "b", "bad"), (2, "x", "b", None),                        # failed, then tried again
+         (0, "v", "d", None), (0, "v", "c", "bad")],                       # c failed before its mark
+        "batch_id int, video_id string, channel_id string, error string")
+    got = {r.channel_id: r.last_synced_at.day for r in jobs.synced_marks(marks, results, status).collect()}
+    assert got == {"a": 1, "b": 4, "c": 5, "d": 4}
+
+
 def test_state_of_idle_clients_is_dropped():
     class State:
         def __init__(self, timed_out):

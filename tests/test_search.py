@@ -180,3 +180,14 @@ def test_a_scan_yields_no_more_than_k_per_query_and_task():
     hits = pd.DataFrame({"query_id": [1, 1, 1, 2], "chunk_id": [5, 4, 3, 9], "similarity": [0.5, 0.9, 0.5, 0.1]})
     best = vectors._best_of(hits, 2)
     assert list(zip(best["query_id"], best["chunk_id"])) == [(1, 4), (1, 3), (2, 9)]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_vectors_that_take_no_part(spark, limit):
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [1.0]), (5, [None, 1.0]), (6, [0.9, 0.1])],
+                              "chunk_id int, vector array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0])], "query_id int, vector array<double>")
+    got = vectors.vector_search(q, c, 5, 0.5, 1, broadcast_bytes=limit).collect()
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got) == [(1, 1, 1), (1, 6, 2)]
+    none = q.where("query_id = 2")
+    assert vectors.vector_search(none, c, 5, 0.5, 1, broadcast_bytes=limit).count() == 0

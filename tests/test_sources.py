@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chronotext import schemas
 from chronotext.session import new_dir
-from chronotext.sources import feeds, golden, segments, tables
+from chronotext.sources import feeds, golden, segments, snapshots, tables
 
 
 def test_feed(spark, tmp_path):
@@ -121,3 +121,30 @@ def test_a_cluster_must_name_its_shared_folder():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_upsert_takes_a_null_key_as_a_key(spark):
+    old = spark.createDataFrame([(None, 1, "old"), ("a", 1, "old"), ("b", 1, "old")], "k string, v int, x string")
+    new = spark.createDataFrame([(None, 2, "new"), ("a", 3, "new"), (None, 3, "newer")], old.schema)
+    rows = lambda ignore: {(r.k, r.x) for r in tables.upsert(old, new, ["k"], [F.col("v")], ignore).collect()}
+    assert rows(False) == {(None, "newer"), ("a", "new"), ("b", "old")}
+    assert rows(True) == {(None, "old"), ("a", "old"), ("b", "old")}
+
+
+def test_snapshots(spark):
+    path, keys, newest = new_dir(spark, "snap"), ["k"], [F.col("v")]
+    batch = lambda *rows: spark.createDataFrame(list(rows), "k string, v int")
+    stored = lambda: sorted(((r.k or "", r.v) for r in snapshots.read_snapshot(spark, path, batch(("", 0)).schema).collect()))
+    put = lambda n, *rows: snapshots.upsert_batch(spark, path, batch(*rows), n, keys, newest, 4)
+    assert stored() == []
+    assert put(0, ("a", 1), (None, 1), ("b", 5))
+    held = snapshots.read_snapshot(spark, path, batch(("", 0)).schema)
+    assert put(1, ("a", 2), ("b", 4), ("c", 1))
+    assert stored() == [("", 1), ("a", 2), ("b", 5), ("c", 1)]  # an older version does not replace a newer one
+    assert not put(1, ("a", 9)) and not put(0, ("a", 9))  # replayed batches
+    assert sorted((r.k or "", r.v) for r in held.collect()) == [("", 1), ("a", 1), ("b", 5)]
+    # files of a batch that died before its manifest are not seen
+    batch(("z", 1)).write.parquet(f"{path}/data/000000000003-dead/_bucket=0")
+    assert stored() == [("", 1), ("a", 2), ("b", 5), ("c", 1)]
+    with pytest.raises(RuntimeError):  # the place of a commit is taken once
+        snapshots._commit(spark, path, {"commit": 2, "batch": 2, "of": 4, "buckets": {}})
