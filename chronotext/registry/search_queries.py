@@ -295,6 +295,39 @@ def resolve_citations(spark, sf):
     return retrieval.resolve_citations(answers, cits, aliases)
 
 
+_REFUSED = "इस विषय का उल्लेख नहीं है।"
+
+
+@R.add("finish_answers", f"""with {_MENTIONS},
+l as (select answer_id, pos, '[' || shown || ' • ' || {_CLOCK} || '](https://youtu.be/' || video_id || '?t=' ||
+             seconds || ')' as link from near),
+t as (select answer_id, 'See ' || max(link) filter (where pos = 0) || ' and ' || max(link) filter (where pos = 1) || '.' as text
+      from l group by answer_id),
+k as (select answer_id, string_agg('c' || video_id, ',' order by cit_pos) as chunks,
+             string_agg(distinct channel_id, ',' order by channel_id) as channels from cit group by answer_id),
+w as (select *, answer_id % 7 <> 3 and answer_id % 5 <> 0 as answered from t join k using (answer_id))
+select answer_id as query_id, answered,
+  case when answer_id % 7 = 3 then null when answer_id % 5 = 0 then '{_REFUSED}'
+       when answer_id % 5 = 1 then '### {_REFUSED} ' || text else text end as answer,
+  case when answered then chunks else '' end as chunks, case when answered then channels else '' end as channels
+from w""")
+def finish_answers(spark, sf):
+    """Raw answers: missing ones, refusals, a refusal's phrase below a heading, echoed questions, and the rest."""
+    texts, cits, aliases = _answers(spark, sf)
+    kind = F.col("answer_id") % 5
+    raw = texts.select(F.col("answer_id").alias("query_id"), F.when(F.col("answer_id") % 7 == 3, None).when(
+        kind == 0, F.lit(_REFUSED)).when(kind == 1, F.concat(F.lit(f"### {_REFUSED} "), "text")).when(
+        kind == 2, F.concat(F.lit("**Question:** what is said [at 1:00]?\n\n"), "text")).otherwise(F.col("text")).alias(
+            "text"))
+    cited = cits.select(
+        F.col("answer_id").alias("query_id"), F.col("cit_pos").alias("final_rank"), "channel_id", "video_id", "start_sec",
+        F.concat(F.lit("c"), "video_id").alias("chunk_id"), (1 - F.col("cit_pos") / 10).alias("similarity"))
+    final, _, log = retrieval.finish_answers(raw, cited, aliases)
+    return final.join(log.drop("answered"), "query_id").select(
+        "query_id", "answer", "answered", F.array_join("retrieved_chunk_ids", ",").alias("chunks"),
+        F.array_join("source_channels_retrieved", ",").alias("channels"))
+
+
 @R.add("embed_texts", """
 select doc_id, 384 as dim, 1.0::double as norm, count(*) over (partition by text) as same_vector from documents""")
 def embed_texts(spark, sf):
