@@ -126,6 +126,28 @@ def usage_stats(logs: DataFrame, feedback: DataFrame, group: Sequence[str] = ("d
         0, ["total_queries", "total_feedback", "flagged_feedback"])
 
 
+def latency_sketches(logs: DataFrame, group: Sequence[str] = ("day", "llm_provider"), k: int = 800) -> DataFrame:
+    """One mergeable quantile sketch of latency_ms per group, to be stored: a few kilobytes whatever the group's size.
+
+    Null latencies are not counted; a group that has nothing else has no row.
+    """
+    return logs.where(F.col("latency_ms").isNotNull()).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_bigint(F.col("latency_ms").cast("bigint"), k).alias("sketch"))
+
+
+def usage_percentiles(sketches: DataFrame, start: Column, end: Column, by: Sequence[str] = ("llm_provider",),
+                      ranks: Sequence[float] = (0.5, 0.9, 0.99), k: int = 800) -> DataFrame:
+    """Latency percentiles over the days from ``start`` to ``end`` (both included) from stored sketches alone.
+
+    A percentile is a latency whose rank is off by no more than about 3 / k of the rows. Days outside are pruned
+    where the sketches are stored by day; the logs are not read again.
+    """
+    merged = sketches.where(F.col("day").between(start, end)).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+    return merged.select(*by, "n", *[
+        F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(r))).alias(f"p{r * 100:g}") for r in ranks])
+
+
 def sync_summary(results: DataFrame) -> DataFrame:
     """One sync_status row per channel and run from per-video results (channel_id, run_id, status, error)."""
     ok = F.col("status").isin("success", "duplicate_video")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronotext import fixed_values as fixed
 from chronotext import schemas
 from chronotext.functions import text as tx
-from chronotext.operators import retrieval
+from chronotext.operators import lexicon, retrieval
 from chronotext.registry.base import WORDS_SQL, Registry, clock_sql, documents, table
 from chronotext.session import new_dir
 from chronotext.sources import feeds, golden, segments, tables
@@ -254,6 +254,38 @@ def apply_lexicon(spark, sf):
         "conv_id", "turn", tx.replace_terms(F.col("text"), _LEX, _PHR).alias("normalized"))
 
 
+_TABLE_SQL = r"""
+with lex as (select distinct w as term, 'T' || length(w) as native
+             from (select unnest(regexp_extract_all(lower(text), '[\pL\pN_]+')) as w from documents)
+             where length(w) % 2 = 0),
+t as (select conv_id, turn, regexp_extract_all(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'),
+             '[\pL\pN_]+|[^\pL\pN_]+') as ps from conversations),
+p as (select conv_id, turn, unnest(ps) as p, generate_subscripts(ps, 1) as i from t)
+select conv_id, turn, trim(regexp_replace(string_agg(coalesce(' ' || native || ' ', p), '' order by i),
+  '\s+', ' ', 'g')) as normalized
+from p left join lex on p = term group by conv_id, turn"""
+
+
+def _by_table(spark, sf, **how):
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"([{tx.WORD_CHAR}]+)"), F.lit(1)))
+    lex = table(spark, sf, "documents").select(word.alias("term")).where(F.length("term") % 2 == 0).distinct().select(
+        "term", F.concat(F.lit("T"), F.length("term")).alias("native"))
+    return lexicon.replace_terms_by_table(table(spark, sf, "conversations"), lex, **how).select(
+        "conv_id", "turn", "normalized")
+
+
+@R.add("apply_lexicon_table", _TABLE_SQL)
+def apply_lexicon_table(spark, sf):
+    """Every word of even length of all documents is an entry."""
+    return _by_table(spark, sf)
+
+
+@R.add("apply_lexicon_joined", _TABLE_SQL)
+def apply_lexicon_joined(spark, sf):
+    """The same with the way for dictionaries that are too large to send."""
+    return _by_table(spark, sf, send_bytes=0)
+
+
 # every third turn gets accents as separate marks, which NFC joins to their letters
 @R.add("normalize_query", rf"""
 with t as (select conv_id, turn, case when turn % 3 = 0 then 'a' || chr(769) || 'é ' || text || ' cafe' || chr(769)
