@@ -13,7 +13,7 @@ from chronotext.plans.evaluate import evaluate
 from chronotext.registry.base import Registry, clock_sql, documents, table, videos
 from chronotext.registry.dedup_queries import VIDEO_PRIORITY, transcripts
 from chronotext.session import cut_lineage, new_dir
-from chronotext.sources.golden import write_report
+from chronotext.sources.golden import nested_report, write_report
 
 R = Registry()
 T, K = 0.22, 24
@@ -207,6 +207,28 @@ def rerank_topk(spark, sf):
         "query_id", "answer_turn", F.round("cross_encoder_score", 6).alias("score"), "rerank_rank")
 
 
+@R.add("rerank_hits", rf"""
+with {_HITS},
+b as (select item_id, text, (select count(*) from benchmark) as nb from benchmark),
+p as (select query_id, chunk_id, h.rank, h.sim, count(*) over (partition by query_id) as n,
+        list_distinct(regexp_extract_all(lower(b.text), '[\pL\pN_]+')) as q,
+        list_distinct(regexp_extract_all(lower(coalesce(d.text, '')), '[\pL\pN_]+')) as t
+      from hits h join b on b.item_id = h.query_id % b.nb left join documents d on d.doc_id = h.chunk_id),
+s as (select *, case when n = 1 then sim else len(list_intersect(q, t)) / greatest(len(q), 1) end as score from p)
+select query_id, chunk_id, round(score, 6) as score,
+  row_number() over (partition by query_id order by score desc, rank) as rerank_rank
+from s qualify rerank_rank <= 4""")
+def rerank_hits(spark, sf):
+    """All hits of a vector search, scored by the terms of a question and of the whole document behind each hit."""
+    b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    questions = b.select("item_id", F.col("text").alias("query"))
+    passages = d.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("clean_text"))
+    pairs = _hits(spark, sf).withColumn("item_id", F.col("query_id") % b.count()).join(questions, "item_id").join(
+        passages, "chunk_id", "left")
+    return retrieval.rerank(pairs).select(
+        "query_id", "chunk_id", F.round("cross_encoder_score", 6).alias("score"), "rerank_rank")
+
+
 def _mmr_sql() -> str:
     sql = f"""with {_HITS},
 h as (select *, count(*) over (partition by query_id) as n from hits),
@@ -414,6 +436,29 @@ def report(spark, sf):
     return spark.read.schema("doc_id bigint, hit boolean, refusal_correct boolean").json(path)
 
 
+@R.add("nested_report", f"""with {_CASES},
+t as (select count(*) as total_tests, round(avg(latency_ms), 1) as average_latency_ms,
+   round(count(*) filter (where not should_refuse and is_grounded) / count(*) filter (where not should_refuse), 3)
+     as overall_hit_rate from c)
+select total_tests, average_latency_ms, overall_hit_rate, doc_id as test_id, should_refuse or is_grounded as hit,
+  not should_refuse or not is_grounded as refusal_correct, source || ',' || source as retrieved_channels,
+  case when is_grounded then 'v' || doc_id end as top_citation, latency_ms from c, t""")
+def nested(spark, sf):
+    """Written as nested JSON and read back: every item below a summary."""
+    cases = _cases(spark, sf).withColumnRenamed("doc_id", "test_id").withColumn("top_citation", F.when(
+        F.col("is_grounded"), F.concat(F.lit("v"), "test_id")))
+    items = catalog.eval_items(cases).select("test_id", "hit", "refusal_correct", F.col("channels").alias(
+        "retrieved_channels"), "top_citation", "latency_ms")
+    report = nested_report(items, catalog.eval_metrics(cases, "src0", "src1"), part_items=100)
+    path = new_dir(spark, "nested-report")
+    write_report(report, path)
+    back = spark.read.schema(report.schema).json(path).select(
+        "total_tests", "average_latency_ms", "overall_hit_rate", F.explode("results").alias("r"))
+    return back.select("total_tests", "average_latency_ms", "overall_hit_rate", "r.test_id", "r.hit", "r.refusal_correct",
+                       F.array_join("r.retrieved_channels", ",").alias("retrieved_channels"), "r.top_citation",
+                       "r.latency_ms")
+
+
 @R.add("evaluate_answers")
 def evaluate_answers(spark, sf):
     a = _answered(spark, sf)

@@ -8,7 +8,7 @@ from chronotext import fixed_values as fixed
 from chronotext import schemas
 from chronotext.functions import text as tx
 from chronotext.operators import lexicon, retrieval
-from chronotext.registry.base import WORDS_SQL, Registry, clock_sql, documents, table
+from chronotext.registry.base import WORDS_SQL, Registry, clock_sql, documents, table, upload_date
 from chronotext.session import new_dir
 from chronotext.sources import feeds, golden, segments, tables
 
@@ -33,6 +33,28 @@ def read_tables(spark, sf):
     return out
 
 
+@R.add("read_catalog", """
+select source as channel_id, count(*) as n_videos, sum(n_chars) as views, max(n_chars % 5000) as longest,
+  min(case when doc_id % 17 <> 0 then date '2023-01-01' + cast(doc_id % 365 as integer) end) as first_upload,
+  count(*) filter (where doc_id % 3 = 0) as duplicates, round(sum(case when doc_id % 3 = 0 then doc_id / 8.0 end), 3) as scores
+from documents group by source""")
+def read_catalog(spark, sf):
+    """The catalog's table of videos, stored and read with its fixed schema, with an aggregate of each type."""
+    doc = F.col("doc_id")
+    rows = table(spark, sf, "documents").select(
+        doc.cast("string").alias("video_id"), F.col("source").alias("channel_id"), F.col("text").alias("description"),
+        upload_date(doc).alias("upload_date"), F.col("n_chars").cast("long").alias("view_count"),
+        (F.col("n_chars") % 5000).cast("int").alias("duration_seconds"), (doc % 3 == 0).alias("is_duplicate"),
+        F.when(doc % 3 == 0, doc / 8).alias("dedup_similarity_score"))
+    schema, root = schemas.CATALOG["videos"], new_dir(spark, "catalog")
+    rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+                  for f in schema]).write.parquet(f"{root}/videos")
+    return tables.read_catalog(spark, root, "videos").groupBy("channel_id").agg(
+        F.count(F.lit(1)).alias("n_videos"), F.sum("view_count").alias("views"),
+        F.max("duration_seconds").alias("longest"), F.min("upload_date").alias("first_upload"),
+        F.count_if("is_duplicate").alias("duplicates"), F.round(F.sum("dedup_similarity_score"), 3).alias("scores"))
+
+
 @R.add("parse_feed", """
 select cast(o_orderkey as varchar) as video_id, 'Order ' || o_custkey as title,
        'https://www.youtube.com/watch?v=' || o_orderkey as url,

@@ -191,3 +191,21 @@ def test_vectors_that_take_no_part(spark, limit):
     assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got) == [(1, 1, 1), (1, 6, 2)]
     none = q.where("query_id = 2")
     assert vectors.vector_search(none, c, 5, 0.5, 1, broadcast_bytes=limit).count() == 0
+
+
+@pytest.mark.parametrize(("n", "part_items", "parts"), [(0, 10, 1), (7, 10, 1), (95, 10, 10)])
+def test_nested_report(spark, n, part_items, parts):
+    from chronotext.operators.catalog import eval_items, eval_metrics
+    from chronotext.sources.golden import nested_report
+    rows = [(None if i % 9 == 4 else i, i % 4 == 0, i % 3 > 0, ["a", "b"], i * 10) for i in range(n)]
+    cases = spark.createDataFrame(
+        rows, "test_id long, should_refuse boolean, is_grounded boolean, channels array<string>, latency_ms int")
+    report = nested_report(eval_items(cases).select("test_id", "hit", "latency_ms"), eval_metrics(cases, "a", "b"),
+                           part_items=part_items).collect()
+    assert sorted(r.part for r in report) == list(range(parts)) and all(r.parts == parts for r in report)
+    assert {r.total_tests for r in report} == {n}
+    got = [tuple(x) for r in report for x in r.results]
+    assert sorted(got, key=repr) == sorted([(i, refuse or ok, ms) for i, refuse, ok, _, ms in rows], key=repr)
+    for r in report:
+        ids = [x.test_id for x in r.results if x.test_id is not None]
+        assert ids == sorted(ids)
