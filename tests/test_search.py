@@ -45,6 +45,28 @@ def test_exact_search(data, limit):
         assert {(r.query_id, r.chunk_id, r.rank) for r in got.collect()} == by_hand(m, 10, 0.3, filtered)
 
 
+@pytest.mark.parametrize("grid", [(7, 11), (1000, 23), (13, 1000)])
+def test_any_grid_gives_the_same_hits(data, grid):
+    """Ids beyond 2^53 and null carried values pass a cell unchanged, whatever rows share its batches."""
+    m, q, c = data
+    far = 1 << 60
+    qs, cs = (df.withColumn(i, F.col(i) + F.lit(far)) for df, i in ((q, "query_id"), (c, "chunk_id")))
+    cs = cs.withColumn("note", F.when(F.col("chunk_id") % 2 == 0, F.col("channel_id")))
+    got = vectors.vector_search(qs, cs, 5, 0.3, 2, carry=["note"], broadcast_bytes=0, block_rows=5, query_block=grid[0],
+                                chunk_block=grid[1]).collect()
+    assert {(r.query_id - far, r.chunk_id - far, r.rank) for r in got} == by_hand(m, 10, 0.3, True)
+    assert all(r.note == (f"c{(r.chunk_id - far) % 3}" if r.chunk_id % 2 == 0 else None) for r in got)
+
+
+def test_queries_whose_lists_are_too_long_are_not_sent_whole(spark, monkeypatch):
+    """Vectors of 1 MB have lists of 19 MB in each task: they go through the grid."""
+    q = spark.range(4096).select(F.col("id").alias("query_id"), F.array_repeat(F.lit(1.0), 32).alias("vector"))
+    c = spark.range(3).select(F.col("id").alias("chunk_id"), F.array_repeat(F.lit(1.0), 32).alias("vector"))
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x))
+    assert vectors.vector_search(q, c).count() == 3 * 4096 and not sent
+
+
 def test_ann_recall(data, spark, sf_dir):
     from chronotext.registry import QUERIES
     exact = QUERIES["vector_search"](spark, sf_dir).select("query_id", "chunk_id")
