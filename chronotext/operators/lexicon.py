@@ -1,6 +1,6 @@
 """Dictionary replacement with the dictionary as a table of any size.
 
-A small table goes to the tasks as a trie, behind a check of its size. Of a larger one each text gets only the entries
+A small table goes to the tasks as a lookup, behind a check of its size. Of a larger one each text gets only the entries
 whose words it holds, by a join on word sequences. Either way a text is walked once per word, whatever the number of
 entries.
 """
@@ -14,37 +14,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.functions.text import WORD_CHAR, squeeze, strip
-from chronotext.session import cut_lineage
+from chronotext.session import cut_lineage, small_batches
 
-SEND_BYTES = 32 << 20  # characters of a dictionary that is sent to the tasks, at most
-END = ""               # marks an entry in the trie; no character is empty
+SEND_BYTES = 8 << 20  # characters of a dictionary that is sent to the tasks, at most: about 150 MB in each
+TEXTS_AT_ONCE = 500   # texts with their own entries in a batch of Python's
 
 
 def is_word(ch: str) -> bool:
     return ch == "_" or ch.isalnum()
 
 
-def trie_of(entries: Iterable[tuple[str, str]]) -> dict:
-    root: dict = {}
-    for term, native in entries:
-        at = root
-        for ch in term:
-            at = at.setdefault(ch, {})
-        at[END] = native
-    return root
+Lookup = tuple[dict[str, str], dict[str, list[int]]]
 
 
-def replace_longest(text: str, trie: dict) -> str:
+def lookup_of(entries: Iterable[tuple[str, str]]) -> Lookup:
+    """Native forms by term, and by a term's first two characters the lengths that occur.
+
+    Two flat tables: a tree of characters takes ten times the memory.
+    """
+    natives: dict[str, str] = {}
+    terms = {term: natives.setdefault(native, native) for term, native in entries}
+    lengths: dict[str, set[int]] = {}
+    for term in terms:
+        lengths.setdefault(term[:2], set()).add(len(term))
+    return terms, {head: sorted(found) for head, found in lengths.items()}
+
+
+def replace_longest(text: str, lookup: Lookup) -> str:
     """Entries that stand between word edges, the longest of all first; ties by term, then from the left."""
+    terms, lengths = lookup
     found = []
     for start in range(len(text)):
         if start and is_word(text[start - 1]):
             continue
-        at, stop = trie, start
-        while stop < len(text) and text[stop] in at:
-            at, stop = at[text[stop]], stop + 1
-            if END in at and (stop == len(text) or not is_word(text[stop])):
-                found.append((start - stop, text[start:stop], start, at[END]))
+        for head in {text[start:start + 1], text[start:start + 2]}:
+            for length in lengths.get(head, ()):
+                stop = start + length
+                if stop > len(text):
+                    break
+                if (stop == len(text) or not is_word(text[stop])) and (native := terms.get(text[start:stop])) is not None:
+                    found.append((-length, text[start:stop], start, native))
     taken: dict[int, tuple[int, str]] = {}
     covered = bytearray(len(text))
     for minus, _, start, native in sorted(found):
@@ -83,22 +92,20 @@ def replace_terms_by_table(texts: DataFrame, lexicon: DataFrame, text: str = "te
     size = entries.agg(F.sum(F.length("term") + F.length("native"))).first()[0] or 0
     low = strip(F.lower(text))
     if size <= send_bytes:
-        rows = [(r.term, r.native) for r in entries.toLocalIterator()]
-        sent = texts.sparkSession.sparkContext.broadcast(rows)
+        sent = texts.sparkSession.sparkContext.broadcast(lookup_of((r.term, r.native) for r in entries.toLocalIterator()))
 
         @F.pandas_udf("string")
-        def by_trie(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            trie = trie_of(sent.value)
-            for part in parts:
-                yield part.map(lambda t: replace_longest(t, trie), na_action="ignore")
+        def by_lookup(part: pd.Series) -> pd.Series:
+            return part.map(lambda t: replace_longest(t, sent.value), na_action="ignore")
 
-        return texts.withColumn(out, squeeze(by_trie(low)))
+        return texts.withColumn(out, squeeze(by_lookup(low)))
 
     @F.pandas_udf("string")
     def by_own(part: pd.Series, own: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else t if e is None else replace_longest(
-            t, trie_of((x["term"], x["native"]) for x in e)) for t, e in zip(part, own, strict=True)], dtype=object)
+            t, lookup_of((x["term"], x["native"]) for x in e)) for t, e in zip(part, own, strict=True)], dtype=object)
 
+    small_batches(texts.sparkSession, TEXTS_AT_ONCE)
     keyed = entries.withColumn("_words", _words_in(F.col("term")))
     longest = keyed.agg(F.max(F.size("_words"))).first()[0] or 0
     keyed = keyed.select(_word_key(F.col("_words")).alias("_key"), "term", "native")

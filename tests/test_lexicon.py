@@ -36,3 +36,16 @@ def test_odd_entries(spark, send_bytes):
     none = replace_terms_by_table(texts, lex.limit(0), send_bytes=send_bytes)
     assert sorted(r.normalized or "" for r in none.collect()) == ["", "the cat", "the cat", "the cat"]
     assert replace_terms_by_table(texts.limit(0), lex, send_bytes=send_bytes).count() == 0
+
+
+def test_a_dictionary_takes_little_more_memory_than_its_text():
+    import tracemalloc
+
+    from chronotext.operators.lexicon import lookup_of, replace_longest
+    terms = [f"word{i * 7919:07d}" for i in range(20_000)]
+    tracemalloc.start()
+    lookup = lookup_of((t, f"T{len(t)}") for t in terms)
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert taken < 200 * len(terms)
+    assert replace_longest(f"x {terms[5]}, {terms[5]}y", lookup) == f"x  T11 , {terms[5]}y"
