@@ -243,3 +243,14 @@ def test_texts_of_the_same_words_are_not_the_same_text(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert compare(QUERIES["embed_texts"](spark, str(tmp_path)), con, ORACLE_SQL["embed_texts"]) == ""
+
+
+def test_cells_are_long_where_queries_make_enough():
+    """Hit lists sent: one per query and block of chunks, so blocks don't follow the chunks alone."""
+    from chronotext.operators.vectors import _grid
+    assert _grid(140_000, 3_000_000, 16_384, 65_536, 24) == (9, 3)  # 46 blocks of chunks by their number alone
+    assert _grid(5_000, 300_000, 16_384, 65_536, 24) == (5, 5)
+    assert _grid(100, 60, 16_384, 65_536, 24) == (1, 1)
+    assert _grid(0, 0, 16_384, 65_536, 24) == (1, 1)
+    q, c = _grid(10**6, 10**9, 16_384, 65_536, 24)
+    assert -(-10**9 // c) <= 16 * 65_536 and q * c >= 24
